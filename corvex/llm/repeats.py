@@ -35,7 +35,7 @@ LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Symbols handled at a time; a longer document is handled whole.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -148,8 +148,22 @@ def chunks(values: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         yield begin, len(values)
 
 
-def _unpack(blobs: pd.Series, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind)
+def _pack(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(x.tobytes(), 3)
+
+
+def _unpack(blob: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(blob), kind)
+
+
+def _contents(flat: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of each segment of flat."""
+    at = np.concatenate(([0], np.cumsum(length)))
+    return Hashes(_hash_values(flat)).of(at[:-1], at[1:])
 
 
 #: Symbols of a text, and hash values of symbols.
@@ -167,7 +181,7 @@ def _hash_values(parts: np.ndarray) -> np.ndarray:
     return BYTE_VALUES[parts] if parts.dtype == np.uint8 else mixed(parts)
 
 
-def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Callable, schema: str, plan: Plan, text: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
+def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Callable, schema: str, plan: Plan, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """digest(doc_id, text, removed ranges as an (n, 2) array of symbol places) for every row of docs, as rows of schema."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(partitions(docs), size // block_bytes + 1)
@@ -246,7 +260,7 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
 
     def send(key: tuple, batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """Pass 2: the distinct segments of this block around recurring anchors, by bucket."""
-        names = ["bucket", "block", "groups", "contents", "sizes", "low", "high", "symbols"]
+        names = ["bucket", "block", "groups", "sizes", "low", "more", "symbols"]
         wanted, hot = _sorted_six(known["keys"]), _sorted_six(known["hot"])
         if not len(batch) or not len(wanted):
             return pd.DataFrame({n: [] for n in names}).astype({"bucket": "int32", "block": "int32"})
@@ -267,7 +281,7 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
         order = np.argsort(bucket, kind="stable")
         for c in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             h = head[c]
-            for name, x in zip(names, (int(bucket[c[0]]), int(key[0]), group[h].tobytes(), content[h].tobytes(), length[h].astype(np.int32).tobytes(), lowest[c].tobytes(), highest[c].tobytes(), _slices(pieces, at[h], at[h] + length[h]).tobytes()), strict=True):
+            for name, x in zip(names, (int(bucket[c[0]]), int(key[0]), _pack(group[h]), _pack(length[h].astype(np.uint16)), _pack(lowest[c]), _pack(highest[c] - lowest[c]), _pack(_slices(pieces, at[h], at[h] + length[h]))), strict=True):
                 out[name].append(x)
         return pd.DataFrame(out).astype({"bucket": "int32", "block": "int32"})
 
@@ -275,11 +289,13 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
 
     def decide(batch: pd.DataFrame) -> pd.DataFrame:
         """Repeats of each group of segments, for each block that holds the segment in a later document."""
-        group, content = _unpack(batch["groups"], U64), _unpack(batch["contents"], U64)
-        length = _unpack(batch["sizes"], np.int32).astype(np.int64)
-        low, high = _unpack(batch["low"], np.int64), _unpack(batch["high"], np.int64)
-        block_of = np.repeat(batch["block"].to_numpy(), [len(x) // 8 for x in batch["groups"]])
-        flat = _unpack(batch["symbols"], kind)
+        groups, sizes = [_unpack(x, U64) for x in batch["groups"]], [_unpack(x, np.uint16).astype(np.int64) for x in batch["sizes"]]
+        texts_of = [_unpack(x, kind) for x in batch["symbols"]]
+        content = np.concatenate([_contents(x, n) for x, n in zip(texts_of, sizes, strict=True)])
+        block_of = np.repeat(batch["block"].to_numpy(), [len(x) for x in groups])
+        group, length, flat = np.concatenate(groups), np.concatenate(sizes), np.concatenate(texts_of)
+        low = np.concatenate([_unpack(x, np.int64) for x in batch["low"]])
+        high = low + np.concatenate([_unpack(x, np.int64) for x in batch["more"]])
         at = np.concatenate(([0], np.cumsum(length)))
         head, lowest, inverse = _distinct(group, content, low, inverse=True)
         seg, start, size, first_doc = find(group[head], length[head], _slices(flat, at[head], at[head] + length[head]), lowest, plan.width)
@@ -292,14 +308,14 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
         place = begin[inverse][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(count[inverse]) - count[inverse], count[inverse])
         later = high[entry] > first_doc[place]
         entry, place = entry[later], place[later]
-        out = {"block": [], "groups": [], "contents": [], "starts": [], "lengths": [], "first": []}
+        out = {"block": [], "names": [], "starts": [], "lengths": [], "first": []}
         order = np.argsort(block_of[entry], kind="stable")
         entry, place = entry[order], place[order]
         for x in np.split(np.arange(len(entry)), np.flatnonzero(np.diff(block_of[entry])) + 1) if len(entry) else []:
             e, p = entry[x], place[x]
             out["block"].append(int(block_of[e[0]]))
-            for name, y in (("groups", group[e]), ("contents", content[e]), ("starts", start[p].astype(np.int32)), ("lengths", size[p].astype(np.int32)), ("first", first_doc[p])):
-                out[name].append(y.tobytes())
+            for name, y in (("names", _named(group[e], content[e])), ("starts", start[p].astype(np.uint16)), ("lengths", size[p].astype(np.uint16)), ("first", first_doc[p])):
+                out[name].append(_pack(y))
         return pd.DataFrame(out).astype({"block": "int32"})
 
     def mark(key: tuple, batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -311,20 +327,18 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
         parts, ranges = _joined(texts, symbols)
         gone: list[np.ndarray] = [np.zeros((0, 2), np.int64)] * len(texts)
         if len(known):
-            group, content = _unpack(known["groups"], U64), _unpack(known["contents"], U64)
-            start, size = _unpack(known["starts"], np.int32).astype(np.int64), _unpack(known["lengths"], np.int32).astype(np.int64)
-            first_doc = _unpack(known["first"], np.int64)
-            name = _both(group, content)
+            name, first_doc = (np.concatenate([_unpack(x, k) for x in known[c]]) for c, k in (("names", U64), ("first", np.int64)))
+            start, size = (np.concatenate([_unpack(x, np.uint16) for x in known[c]]).astype(np.int64) for c in ("starts", "lengths"))
             order = np.argsort(name, kind="stable")
             name, start, size, first_doc = name[order], start[order], size[order], first_doc[order]
             kinds = np.unique(name)
-            windows = bool((group & U64(1)).any())
+            windows = bool((name & U64(1)).any())
             for a, b in ranges:
                 whole, starts, (hashes, anchor, doc, first, last) = segments(parts, a, b)
                 found, owner, where = [], [], []
                 for hot in (np.zeros(len(first), bool), np.ones(len(first), bool))[: 1 + windows]:
                     g, d, f, e = by_window(plan, hashes, anchor, doc, first, last, hot)
-                    n = _both(g, hashes.of(f, e + plan.width))
+                    n = _named(g, hashes.of(f, e + plan.width))
                     hit = _within(n, kinds)
                     found.append(n[hit])
                     owner.append(d[hit])
@@ -352,8 +366,8 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
 
     anchors_of = texts.groupBy("block").applyInPandas(report, "bucket int, block int, keys binary, many binary")
     known = anchors_of.groupBy("bucket").applyInPandas(recurring, "block int, keys binary, hot binary")
-    sent = cogrouped(texts, known, send, "bucket int, block int, groups binary, contents binary, sizes binary, low binary, high binary, symbols binary")
-    repeats = sent.groupBy("bucket").applyInPandas(decide, "block int, groups binary, contents binary, starts binary, lengths binary, first binary")
+    sent = cogrouped(texts, known, send, "bucket int, block int, groups binary, sizes binary, low binary, more binary, symbols binary")
+    repeats = sent.groupBy("bucket").applyInPandas(decide, "block int, names binary, starts binary, lengths binary, first binary")
     return cogrouped(texts, repeats, mark, schema)
 
 
@@ -379,8 +393,9 @@ def _within(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
-def _both(group: np.ndarray, content: np.ndarray) -> np.ndarray:
-    return mixed(group ^ (content * U64(BASE)))
+def _named(group: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """One name for group and content, odd for windows."""
+    return mixed(group ^ (content * U64(BASE))) & ~U64(1) | group & U64(1)
 
 
 def _slices(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
