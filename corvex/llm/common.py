@@ -58,3 +58,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def strings(values: list):
+    """A column of Python strings; pandas' own string type may reach Arrow in pieces, which Spark rejects."""
+    import pandas as pd
+
+    return pd.Series(values, dtype=object)

@@ -13,7 +13,6 @@ hashes; a benchmark of any size leaves the join exact.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,76 +20,80 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import mixed
+from .common import strings
+from .repeats import BYTE_VALUES, U64, Hashes, mixed
 
-U64 = np.uint64
 WINDOW, CONTAINMENT, CONSISTENT, BITS = 5, 0.8, 0.8, 24
 #: Words that name a unit when they follow a number.
-UNITS = frozenset("% $ € £ kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min mins s sec secs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents usd eur gbp degree degrees percent".split())
-_EDGE = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
-_NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
-_WORD, _NUM, _CAP, _UNIT, _NONE = range(5)
-_SLOTS = {_NUM: "n", _CAP: "c", _UNIT: "u"}
-
-
-def _hash(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 7)
-
-
-PLACE = {_NUM: _hash("<number>"), _CAP: _hash("<name>"), _UNIT: _hash("<unit>")}
-
-
-class Tokens:
-    """Numbers for words, with what a word is on its own; forgets all when `keep` words are known."""
-
-    def __init__(self, keep: int = 300_000) -> None:
-        self.keep, self.known = keep, {}
-        self.hash, self.kind, self.ends, self.core = [], [], [], []
-
-    def number(self, word: str) -> int:
-        core = _EDGE.sub("", word)
-        core = core.rstrip("$%€£") or core  # marks glued to a word; a mark alone is a unit
-        low = core.lower()
-        if not core:
-            kind = _NONE
-        elif _NUMBER.fullmatch(core.lstrip("$€£")):
-            kind = _NUM
-        elif low in UNITS:
-            kind = _UNIT
-        else:
-            kind = _CAP if core[0].isupper() and (len(core) == 1 or not core.isupper()) else _WORD
-        self.known[word] = out = len(self.kind)
-        self.hash.append(_hash(low))
-        self.kind.append(kind)
-        self.ends.append(bool(set(word[-6:]) & set(".!?:")) or kind == _NONE and "\n" in word)
-        self.core.append(low)
-        return out
-
-    def of(self, texts: list[str | None]):
-        """hashes with placeholders, slot kinds (-1: none), word numbers and text numbers of all tokens of the texts."""
-        if len(self.known) > self.keep:
-            self.__init__(self.keep)
-        split = [(t or "").split() for t in texts]
-        get, new = self.known.get, self.number
-        ids = np.fromiter((x if (x := get(w)) is not None else new(w) for words in split for w in words), np.int64)
-        text = np.repeat(np.arange(len(texts)), [len(w) for w in split])
-        kind, ends = np.array(self.kind, np.int8), np.array(self.ends, bool)
-        full = kind[ids] != _NONE if len(ids) else np.zeros(0, bool)
-        ids, text = ids[full], text[full]
-        kinds, start = kind[ids], np.ones(len(ids), bool)
-        start[1:] = ends[ids[:-1]] | (text[1:] != text[:-1])
-        after = np.zeros(len(ids), bool)
-        after[1:] = (kinds[:-1] == _NUM) & (text[1:] == text[:-1])
-        slot = np.full(len(ids), -1, np.int8)
-        slot[kinds == _NUM] = _NUM
-        slot[(kinds == _CAP) & ~start] = _CAP
-        slot[(kinds == _UNIT) & after] = _UNIT
-        hashes = np.array(self.hash, U64)[ids] if len(ids) else np.zeros(0, U64)
-        for k, h in PLACE.items():
-            hashes[slot == k] = U64(h)
-        return hashes, slot, ids, text
+UNITS = "kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min mins s sec secs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents usd eur gbp degree degrees percent".split()
+_NUM, _CAP, _UNIT = range(3)
+_SLOTS = "ncu"
+#: Bytes of text handled at a time; a longer text is handled whole.
+CHUNK = 1 << 19
+
+
+def _class(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_IS_BLANK, _IS_DIGIT, _IS_END = _class(" \t\n\x0b\x0c\r"), _class("0123456789"), _class(".!?:")
+_IS_UPPER, _IS_LOWER, _IS_JOINT = _class(_LETTERS.upper()), _class(_LETTERS), _class(".,:/")
+_IS_CORE = _IS_DIGIT | _IS_UPPER | _IS_LOWER | (np.arange(256) >= 128)
+
+
+def _word_hash(word: str) -> int:
+    return int(Hashes(BYTE_VALUES[np.frombuffer(word.encode(), np.uint8)]).of(np.array([0]), np.array([len(word.encode())]))[0])
+
+
+UNIT_HASHES = np.sort(np.array([_word_hash(u) for u in UNITS], U64))
+PLACE = np.array([_word_hash(f"<{k}>") for k in ("number", "name", "unit")], U64)
+
+
+def tokens_of(texts: list[bytes]):
+    """Of all words of the texts: hash (placeholders by kind), slot kind (-1: none), text number, and the
+    first and last byte (exclusive) of its core in the texts joined by blanks, which come last.
+
+    A word's core is what is left without punctuation at its ends; words without one are no tokens.
+    Letters are folded in ASCII and Latin-1. A number has digits and .,:/ only. A name starts with a
+    capital, has some small letter, and follows no . ! ? or :.
+    """
+    data = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    edge = np.diff(np.concatenate(([1], _IS_BLANK[data].astype(np.int8), [1])))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    place = np.arange(len(data), dtype=np.int32)
+    core = _IS_CORE[data]
+    after = np.minimum.accumulate(np.where(core, place, len(data))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(core, place, -1))
+    start, end = after[first].astype(np.int64), before[last - 1].astype(np.int64) + 1
+    full = start < last
+    start, end, last = start[full], end[full], last[full]
+    text = np.searchsorted(np.cumsum(sizes), start, side="right")
+    pair = np.zeros(len(data), bool)  # second bytes of Latin-1 letters
+    pair[1:] = data[:-1] == 0xC3
+    wide = pair & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    upper = _IS_UPPER[data] | wide
+    small = data + (upper * np.uint8(32))
+    count = lambda mask, a, b: (c := np.concatenate(([0], np.cumsum(mask, dtype=np.int32))))[b] - c[a]
+    digits = count(_IS_DIGIT[data], start, end)
+    number = (digits > 0) & (digits + count(_IS_JOINT[data], start, end) == end - start)
+    head = np.minimum(start + (data[start] == 0xC3), len(data) - 1)
+    capital = upper[head] & (count(_IS_LOWER[data] | (pair & (data >= 0xA0)), start, end) > 0)
+    ends = count(_IS_END[data], end, last) > 0
+    hashes = Hashes(BYTE_VALUES[small]).of(start, end)
+    opens, follows = np.ones(len(start), bool), np.zeros(len(start), bool)
+    same = text[1:] == text[:-1]
+    opens[1:] = ends[:-1] | ~same
+    follows[1:] = number[:-1] & same
+    slot = np.full(len(start), -1, np.int8)
+    slot[capital & ~opens] = _CAP
+    maybe = follows & (UNIT_HASHES[np.minimum(np.searchsorted(UNIT_HASHES, hashes), len(UNIT_HASHES) - 1)] == hashes)
+    slot[maybe] = _UNIT
+    slot[number] = _NUM
+    return np.where(slot >= 0, PLACE[slot], hashes), slot, text, start, end, small
 
 
 def windows(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,24 +113,29 @@ def template_windows(table: DataFrame, key: list[str], text: str, bitmap: bytes
     or of those in the bitmap."""
     kinds = dict(table.dtypes)
 
+    def found(rows: pd.DataFrame, texts: list[bytes], bits) -> pd.DataFrame:
+        hashes, slot, doc, start, end, data = tokens_of(texts)
+        value, at = windows(hashes, doc)
+        if bits is not None:
+            low = (value & U64((1 << BITS) - 1)).astype(np.int64)
+            hit = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+            value, at = value[hit], at[hit]
+        first = np.searchsorted(doc, np.arange(len(rows)))
+        word = lambda i: data[start[i] : end[i]].tobytes().decode("utf-8", "replace")
+        slots = ["\t".join(_SLOTS[slot[i]] + word(i) for i in range(a, a + WINDOW) if slot[i] >= 0) for a in at.tolist()]
+        return rows[key].iloc[doc[at]].reset_index(drop=True).assign(h=value.view(np.int64), at=at - first[doc[at]], slots=strings(slots))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens()
         bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
         for batch in batches:
-            for part in range(0, len(batch), 128):
-                rows = batch.iloc[part : part + 128]
-                hashes, slot, ids, doc = tokens.of(rows["text_"].tolist())
-                value, at = windows(hashes, doc)
-                if bits is not None:
-                    low = (value & U64((1 << BITS) - 1)).astype(np.int64)
-                    hit = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
-                    value, at = value[hit], at[hit]
-                first = np.searchsorted(doc, np.arange(len(rows)))
-                out = rows[key].iloc[doc[at]].reset_index(drop=True)
-                out["h"] = value.view(np.int64)
-                out["at"] = at - first[doc[at]]
-                out["slots"] = ["\t".join(f"{_SLOTS[int(slot[i])]}{tokens.core[ids[i]]}" for i in range(a, a + WINDOW) if slot[i] >= 0) for a in at.tolist()]
-                yield out
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text_"]]
+            begin, size = 0, 0
+            for i, t in enumerate(texts):
+                if size and size + len(t) > CHUNK:
+                    yield found(batch.iloc[begin:i], texts[begin:i], bits)
+                    begin, size = i, 0
+                size += len(t)
+            yield found(batch.iloc[begin:], texts[begin:], bits)
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", h long, at long, slots string"
     return table.select(*key, F.col(text).alias("text_")).mapInPandas(run, schema)

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import strings
+
 #: The kinds in order, their keywords, and their expressions.
 KINDS = ("assign", "access", "hex", "github", "npm")
 KEYWORDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "npm": ("npm_",)}
@@ -93,8 +95,8 @@ def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
                 **{f"n_{kind}": [sum(k == i for _, k, _ in x) for x in found] for i, kind in enumerate(KINDS[:3])},
-                "base_sha256": [hashlib.sha256(joined(x, base=True).encode()).hexdigest() for x in found],
-                "spans": [joined(x) for x in found],
+                "base_sha256": strings([hashlib.sha256(joined(x, base=True).encode()).hexdigest() for x in found]),
+                "spans": strings([joined(x) for x in found]),
                 "n_checked": [sum(k > 2 for _, k, _ in x) for x in found],
             })
 

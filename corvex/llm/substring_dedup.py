@@ -84,7 +84,7 @@ def _digest(ids, texts, parts, gone) -> pd.DataFrame:
     for doc_id, text, spans in zip(ids, texts, gone, strict=True):
         n, removed, kept = _kept(text, spans)
         rows.append((doc_id, n, removed, hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64", "kept_sha256": object})
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", plan: Plan = PLAN, **how) -> DataFrame:
@@ -99,7 +99,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", plan: Plan = PLAN, **ho
 
 def _texts(ids, texts, parts, gone) -> pd.DataFrame:
     rows = [(i, _kept(t, g)[2].decode("utf-8", "surrogatepass")) for i, t, g in zip(ids, texts, gone, strict=True)]
-    return pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64", "text": object})
 
 
 def kept_texts(docs: DataFrame, text: str = "text", plan: Plan = PLAN, **how) -> DataFrame:

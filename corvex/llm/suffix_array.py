@@ -135,7 +135,7 @@ def _digest(ids, texts, parts, gone) -> pd.DataFrame:
         kept.update(data[at:])
         rows.append((doc_id, len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), kept.hexdigest()))
     out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    return out.astype({"doc_id": "Int64"})
+    return out.astype({"doc_id": "Int64", "kept_sha256": object})
 
 
 def suffix_array_dedup(docs: DataFrame, text: str = "text", plan: Plan = PLAN, **how) -> DataFrame:
@@ -156,7 +156,7 @@ def _texts(ids, texts, parts, gone) -> pd.DataFrame:
         for a, b in spans.tolist():
             keep[a:b] = False
         rows.append((doc_id, part[keep].tobytes().decode("utf-8", "ignore")))
-    return pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64", "text": object})
 
 
 def kept_texts(docs: DataFrame, text: str = "text", plan: Plan = PLAN, **how) -> DataFrame:
