@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, let, own_name
 
 KINDS = ("email", "ip", "card", "phone", "context")
-MARK = ""
+MARK, OTHER = "\ue000", "\ue001"
 PATTERN_SCORE, ACCEPT, SUPPORT, ROUNDS = 0.8, 0.8, 3, 2
 _LOCAL = f"A-Za-z0-9._%+{MARK}-"
 EXPRESSIONS = {
@@ -73,7 +73,7 @@ def _places(text: Column, pattern: str, item, kind: str) -> Column:
 
 def _spans(kind: str, text: Column) -> Column:
     """(a, b) of every valid match of a kind."""
-    plain = F.translate(text, MARK, "x")
+    plain = F.translate(text, MARK, OTHER)  # a mark of the text itself belongs to no expression
     if kind == "email":
         copy, guard = F.regexp_replace(plain, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK), F.contains(text, F.lit("@"))
     elif kind == "card":
