@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .constants import FNV_BASIS, FNV_PRIME
 
@@ -16,10 +17,14 @@ RUNS = r"[一-鿿]{2,}|[a-z0-9][a-z0-9._-]{1,}"
 CJK = r"^[一-鿿]+$"
 
 
-@F.pandas_udf("string")
-def nfkc(values: pd.Series) -> pd.Series:
+def nfkc(value: Column) -> Column:
     """Compatibility composition, which no built-in function has."""
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    @F.pandas_udf(StringType())
+    def compose(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v)).astype(object)
+
+    return compose(value)
 
 
 def _text(value) -> Column:
@@ -84,13 +89,22 @@ def tokens(value, cjk_max_n: int = 3, cap: int | None = None, stable: bool = Fal
     kind = "array<struct<t:string,c:boolean>>"
     item = lambda t, c: F.struct(t.alias("t"), F.lit(c).alias("c"))
     marked = lambda r: F.when(r.rlike(CJK), F.concat(F.when(F.length(r) <= 16, F.array(item(r, False))).otherwise(F.array().cast(kind)), F.transform(_grams(r, (2, cjk_max_n)), lambda g: item(g, True)))).otherwise(F.array(item(r, True)))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("full"))
+    every = F.flatten(F.transform(_runs(text), marked))
+
+    def cut(rows: Column, distinct: Column) -> Column:
+        # Where the cap is reached by a whole run, the n-gram after it, the run's first one, still comes in.
+        last = F.get(distinct, F.lit(cap - 1))
+        looked_at = F.get(F.filter(rows, lambda x: x["t"] == last), F.lit(0))["c"]
+        first = F.slice(distinct, 1, cap)
+        more = ~looked_at & ~F.array_contains(first, F.substring(last, 1, 2))
+        return F.when(F.size(distinct) < cap, distinct).when(more, F.slice(distinct, 1, cap + 1)).otherwise(first)
+
+    return _let(every, lambda rows: _let(F.array_distinct(F.transform(rows, lambda x: x["t"])), lambda d: cut(rows, d)))
 
-    def step(acc: Column, x: Column) -> Column:
-        out = F.array_union(acc["out"], F.array(x["t"]))
-        return F.when(acc["full"], acc).otherwise(F.struct(out.alias("out"), (x["c"] & (F.size(out) >= cap)).alias("full")))
 
-    return F.aggregate(F.flatten(F.transform(_runs(text), marked)), start, step)["out"]
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def phrase_tokens(phrase: Column, max_n: int = 5) -> Column:
@@ -115,10 +129,9 @@ def doc_host(url) -> Column:
 
 def fnv1a(token: Column, seed: int) -> Column:
     """32-bit FNV-1a with the seed in the offset basis, over UTF-8 bytes."""
-    text = F.hex(F.encode(token, "UTF-8"))
-    byte = lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit((FNV_BASIS ^ seed) & 0xFFFFFFFF).cast("bigint"), lambda h, i: (h.bitwiseXOR(byte(i)) * F.lit(FNV_PRIME).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+    pairs = F.regexp_extract_all(F.hex(F.encode(token, "UTF-8")), F.lit(".."), F.lit(0))
+    byte = lambda p: F.conv(p, 16, 10).cast("bigint")
+    return F.aggregate(pairs, F.lit((FNV_BASIS ^ seed) & 0xFFFFFFFF).cast("bigint"), lambda h, p: (h.bitwiseXOR(byte(p)) * F.lit(FNV_PRIME).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

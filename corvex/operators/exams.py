@@ -16,7 +16,7 @@ from ..functions.text import exam_count, exam_text
 def map_headers(rows: DataFrame, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """Columns by their first existing header; missing ones are empty. Other columns stay."""
     headers = EXAM_HEADERS if headers is None else headers
-    found = {f: next((h for h in names if h in rows.columns), None) for f, names in headers.items()}
+    found = {f: next((h for h in [*names, f] if h in rows.columns), None) for f, names in headers.items()}
     taken = {h for h in found.values() if h}
     keep = [c for c in rows.columns if c not in taken and c not in found]
     return rows.select(*keep, *(F.col(f"`{h}`").cast("string").alias(f) if h else F.lit("").alias(f) for f, h in found.items()))
@@ -115,7 +115,7 @@ def ics_stamp(iso: Column) -> Column:
 
 def ics_escape(text: Column) -> Column:
     out = text
-    for a, b in (("\\", "\\\\"), (",", "\\,"), (";", "\;"), ("\r\n", "\\n"), ("\r", "\\n"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (",", "\\,"), (";", "\\;"), ("\r\n", "\\n"), ("\r", "\\n"), ("\n", "\\n")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import EXAM_HEADERS
+
 #: Files of a source package, and their rows' schemas.
 SCHEMAS = {
     "sections": "section_id string, name string, url string, section_type string, nav_path array<string>, business_tags array<string>",
@@ -84,20 +86,23 @@ def reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.filter(~F.col("expected").eqNullSafe(F.col("actual")))
 
 
-def read_exam_tables(spark: SparkSession, folder: str) -> DataFrame:
+def read_exam_tables(spark: SparkSession, folder: str, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """All spreadsheets (or CSV files) of a folder as text rows with source_file and row_index, files in name order.
 
-    Spreadsheets need openpyxl, which is looked for only when there are any; the files of one folder are small.
+    Each file's columns are mapped by its own first existing header. Spreadsheets need openpyxl, which is
+    looked for only when there are any; the files of one folder are small.
     """
     import pandas as pd
 
+    headers = EXAM_HEADERS if headers is None else headers
     rows = []
     for path in sorted(p for p in Path(folder).iterdir() if p.suffix in (".xlsx", ".csv")):
         frame = pd.read_excel(path, dtype=str) if path.suffix == ".xlsx" else pd.read_csv(path, dtype=str)
-        rows += [{k: None if pd.isna(v) else str(v) for k, v in r.items()} | {"source_file": path.name, "row_index": i} for i, r in enumerate(frame.to_dict("records"), 2)]
-    columns = list(dict.fromkeys(k for r in rows for k in r if k not in ("source_file", "row_index")))
-    schema = ", ".join([*(f"`{c}` string" for c in columns), "source_file string", "row_index int"])
-    return spark.createDataFrame([tuple(r.get(c) for c in [*columns, "source_file", "row_index"]) for r in rows], schema)
+        found = {f: next((h for h in names if h in frame.columns), None) for f, names in headers.items()}
+        for number, row in enumerate(frame.to_dict("records"), 2):
+            values = [None if h is None or pd.isna(row[h]) else str(row[h]) for h in found.values()]
+            rows.append((*values, path.name, number))
+    return spark.createDataFrame(rows, ", ".join([*(f"`{f}` string" for f in headers), "source_file string", "row_index int"]))
 
 
 def html_links(html: Column) -> Column:
