@@ -11,10 +11,9 @@ from pyspark.sql.types import StringType
 
 from .constants import FNV_BASIS, FNV_PRIME
 
-#: Unicode blanks; Java's plain \s is ASCII only.
-BLANKS = r"(?U)\s+"
+#: All characters that Unicode calls white space; as plain ranges Java matches them faster than by property.
+BLANKS = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 RUNS = r"[一-鿿]{2,}|[a-z0-9][a-z0-9._-]{1,}"
-CJK = r"^[一-鿿]+$"
 
 
 def nfkc(value: Column) -> Column:
@@ -52,14 +51,14 @@ def sha256_text(value: Column, length: int = 16) -> Column:
 
 def stable_slug(value, fallback: str = "unknown", max_length: int = 48, stable: bool = False) -> Column:
     slug = F.btrim(F.regexp_replace(normalize_text(value, stable), r"[^a-z0-9一-鿿_-]+", "-"), F.lit("-"))
-    return F.substring(F.when(slug == "", fallback).otherwise(slug), 1, max_length)
+    return F.substring(F.coalesce(F.nullif(slug, F.lit("")), F.lit(fallback)), 1, max_length)
 
 
 def canonical_title(value) -> Column:
     """Without a leading label in lenticular brackets; the whole title if nothing else is left."""
     title = clean_text(value)
     rest = F.btrim(F.regexp_replace(F.regexp_replace(title, "^【[^】]{1,24}】", ""), BLANKS, " "), F.lit(" -_"))
-    return F.when(rest == "", title).otherwise(rest)
+    return F.coalesce(F.nullif(rest, F.lit("")), title)
 
 
 def unique_strings(values: Column, limit: int | None = None) -> Column:
@@ -71,6 +70,11 @@ def _runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))
 
 
+def _is_cjk(run: Column) -> Column:
+    """A run is of one kind, so its first character tells."""
+    return run >= "一"
+
+
 def _grams(run: Column, sizes: tuple[int, int]) -> Column:
     """n-grams by size, then place; sizes beyond the run's length have none (a sequence would count down)."""
     one = lambda n: F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(0), F.length(run) - n), lambda i: F.substring(run, i + 1, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -85,10 +89,11 @@ def tokens(value, cjk_max_n: int = 3, cap: int | None = None, stable: bool = Fal
     text = _text(value) if normalized else normalize_text(value, stable)
     if cap is None:
         whole = lambda r: F.when(F.length(r) <= 16, F.array(r)).otherwise(F.array().cast("array<string>"))
-        return F.array_distinct(F.flatten(F.transform(_runs(text), lambda r: F.when(r.rlike(CJK), F.concat(whole(r), _grams(r, (2, cjk_max_n)))).otherwise(F.array(r)))))
+        # texts without CJK, the most, need no n-grams
+        return F.when(~text.rlike("[一-鿿]"), F.array_distinct(_runs(text))).otherwise(F.array_distinct(F.flatten(F.transform(_runs(text), lambda r: F.when(_is_cjk(r), F.concat(whole(r), _grams(r, (2, cjk_max_n)))).otherwise(F.array(r))))))
     kind = "array<struct<t:string,c:boolean>>"
     item = lambda t, c: F.struct(t.alias("t"), F.lit(c).alias("c"))
-    marked = lambda r: F.when(r.rlike(CJK), F.concat(F.when(F.length(r) <= 16, F.array(item(r, False))).otherwise(F.array().cast(kind)), F.transform(_grams(r, (2, cjk_max_n)), lambda g: item(g, True)))).otherwise(F.array(item(r, True)))
+    marked = lambda r: F.when(_is_cjk(r), F.concat(F.when(F.length(r) <= 16, F.array(item(r, False))).otherwise(F.array().cast(kind)), F.transform(_grams(r, (2, cjk_max_n)), lambda g: item(g, True)))).otherwise(F.array(item(r, True)))
     every = F.flatten(F.transform(_runs(text), marked))
 
     def cut(rows: Column, distinct: Column) -> Column:
@@ -109,17 +114,25 @@ def _let(value: Column, body) -> Column:
 
 def phrase_tokens(phrase: Column, max_n: int = 5) -> Column:
     """The phrase itself and its tokens, longest first, equal lengths in order of generation."""
-    found = F.flatten(F.transform(_runs(phrase), lambda r: F.when(r.rlike(CJK), _grams(r, (2, max_n))).otherwise(F.array(r))))
+    found = F.flatten(F.transform(_runs(phrase), lambda r: F.when(_is_cjk(r), _grams(r, (2, max_n))).otherwise(F.array(r))))
     unique = F.array_distinct(F.concat(F.array(phrase), found))
     keyed = F.array_sort(F.transform(unique, lambda t, i: F.struct((-F.length(t)).alias("l"), i.alias("i"), t.alias("t"))))
     return F.transform(keyed, lambda x: x["t"])
 
 
 def summarize(content, title, limit: int = 180) -> Column:
-    """The start of the content without the title that leads it; the title if nothing is left."""
-    text, head = clean_text(content), clean_text(title)
-    rest = F.when(F.startswith(text, head), F.trim(F.substring(text, F.length(head) + 1, F.length(text)))).otherwise(text)
-    return F.when(rest == "", head).otherwise(F.substring(rest, 1, limit))
+    """The start of the content without the title that leads it; the title if nothing is left.
+
+    Only as much of a long content is cleaned as its summary can need.
+    """
+    raw, head = _text(content), clean_text(title)
+    start = clean_text(F.substring(raw, 1, 2048))
+
+    def cut(text: Column) -> Column:
+        rest = F.when(F.startswith(text, head), F.trim(F.substring(text, F.length(head) + 1, F.length(text)))).otherwise(text)
+        return F.coalesce(F.nullif(F.substring(rest, 1, limit), F.lit("")), head)
+
+    return F.when((F.length(raw) <= 2048) | (F.length(start) >= F.length(head) + limit + 2), cut(start)).otherwise(cut(clean_text(raw)))
 
 
 def doc_host(url) -> Column:

@@ -13,7 +13,15 @@ ATTACHMENT = "array<struct<name:string,extension:string,section:string,url:strin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of texts dealt to all cores if the scan has fewer splits than cores: a small file is one row group,
+    which one task would read. Tables of many files are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
