@@ -8,7 +8,9 @@ running sums over the sources ordered by cap / weight.
 Sampling: Efraimidis-Spirakis keys -ln(u) / quality, u from an MD5 of the document, smallest first.
 A source is taken as often as its target holds it whole; the rest of the target is filled in key order,
 and the document at the end of the budget is taken in part. The prefix sums of a source run over
-fine bins of the keys, then within each bin, so no task holds a whole source.
+fine bins of the keys, then within each bin, so no task holds a whole source. Bins are even for any
+mix of qualities: a key's bin is its expected rank, the sum over the source's quality levels of
+documents x (1 - exp(-key x quality)). Texts are read once; their figures are checkpointed.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of
+from .common import checkpointed, n_words_of
 
 SHARE, MOST, WEIGHTS = 1.5, 2.0, (5, 2, 1)
 #: Documents a bin of keys holds on average.
 BIN_ROWS = 2000
+#: Quality levels that bins tell apart are multiples of 1 / LEVELS up to 1; the keys themselves are not rounded.
+LEVELS = 20
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -52,19 +56,35 @@ def sampling_key(doc_id: Column, text: Column, quality: Column) -> Column:
     return -F.log(u) / quality
 
 
+def key_levels(rows: DataFrame) -> DataFrame:
+    """One row per source: src and levels, its quality levels (LEVELS of them at most) with their documents."""
+    level = F.greatest(F.least(F.round(F.col("q") * LEVELS), F.lit(float(LEVELS))), F.lit(1.0)) / LEVELS
+    counts = rows.groupBy("src", level.alias("q")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return counts.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("q", "n"))).alias("levels"))
+
+
+def expected_rank(key: Column, levels: Column) -> Column:
+    """Documents of a source expected before a key; it grows with the key, so bins of it keep the order, and equal keys share a bin."""
+    return F.aggregate(levels, F.lit(0.0), lambda a, x: a + x["n"] * (1 - F.exp(-key * x["q"])))
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", quality: Column | None = None, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs.
 
     Null texts have size 0 and take 0; null sources form one source, last in order; equal keys (repeated
     rows) are ordered by size, and rows equal in that too share the budget in either order with the same
-    set of results. An empty table gives no rows. Extra columns are ignored.
+    set of results. A given quality that is null, zero or less counts as 1e-6. An empty table gives no
+    rows. Extra columns are ignored.
     """
-    rows = docs.select("doc_id", F.col(source).alias("src"), n_words_of(F.col(text)).alias("size"), sampling_key(F.col("doc_id"), F.col(text), quality_weight(F.col(text)) if quality is None else quality).alias("k"))
+    worth = quality_weight(F.col(text)) if quality is None else F.greatest(quality.cast("double"), F.lit(1e-6))
+    rows = docs.select("doc_id", F.col(source).alias("src"), n_words_of(F.col(text)).alias("size"), worth.alias("q"), sampling_key(F.col("doc_id"), F.col(text), worth).alias("k"))
+    rows = checkpointed(rows)
     plan = targets(rows, share, most, weights).withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    levels = key_levels(rows).withColumnRenamed("src", "level_src")
+    plan = plan.join(levels, F.col("src").eqNullSafe(F.col("level_src"))).drop("level_src")
     both = rows.join(plan.withColumnRenamed("src", "plan_src"), F.col("src").eqNullSafe(F.col("plan_src")))
-    # exp(-k) spreads keys over (0, 1), about evenly when qualities are near 1
-    both = both.withColumn("bin", F.floor((1 - F.exp(-F.col("k"))) * F.ceil(F.col("n_docs") / BIN_ROWS)).cast("long"))
+    both = both.withColumn("bin", F.floor(expected_rank(F.col("k"), F.col("levels")) / BIN_ROWS).cast("long")).drop("levels")
     bins = both.groupBy("src", "bin").agg(F.sum("size").alias("in_bin"))
     ahead = F.sum("in_bin").over(Window.partitionBy("src").orderBy("bin")) - F.col("in_bin")
     bins = bins.select(F.col("src").alias("bin_src"), F.col("bin").alias("bin_no"), ahead.alias("ahead"))

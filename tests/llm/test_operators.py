@@ -237,6 +237,19 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def test_mixing_bins_are_even_for_poor_sources(spark):
+    few = 50
+    docs = spark.range(20000).selectExpr("id AS doc_id", "'w # # # #' AS text", "IF(id % 100 = 0, null, 'poor') AS source")
+    rows = docs.select("doc_id", F.col("source").alias("src"), mixing.quality_weight(F.col("text")).alias("q"))
+    rows = rows.withColumn("k", mixing.sampling_key(F.col("doc_id"), F.lit(""), F.col("q"))).filter("src = 'poor'").drop("src")
+    levels = mixing.key_levels(rows.withColumn("src", F.lit("poor")))
+    ranked = rows.crossJoin(levels).select(F.floor(mixing.expected_rank(F.col("k"), F.col("levels")) / (19800 / few)).alias("bin"))
+    largest = ranked.groupBy("bin").count().agg(F.max("count")).first()[0]
+    assert largest < 2 * 19800 / few
+    given = mixing.mix(docs.limit(50), quality=F.when(F.col("doc_id") % 2 == 0, 0.5)).collect()
+    assert len(given) == 50
+
+
 # --- 10
 
 
