@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, own_name
+from .common import SPACE, checkpointed, let, own_name
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -98,6 +98,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", hos
         "doc_id", "host_of", F.col("f.w.n").alias("n_words"), F.col("f.word_chars"), F.col("f.n_symbols"), F.col("f.n_dup_lines"),
         F.col("f.w.r").alias("n_repeat_words"), failed(F.col("f")).alias("base_failed"),
     )
+    judged = checkpointed(judged)  # a few figures a document, so that hosts and verdicts read texts once
     hosts = host_verdicts(judged, "host_of", host_limit=host_limit)
     return (
         judged.join(hosts, judged["host_of"].eqNullSafe(hosts["host"]), "left")
