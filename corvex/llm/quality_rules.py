@@ -18,6 +18,8 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: A host is rejected when nearly all of its documents fail, so that clean documents of mixed hosts stay.
 HOST_LIMIT = 0.9
+#: Rejected hosts are broadcast up to this many bytes of names; beyond, they meet the documents by a shuffle.
+BROADCAST_BYTES = 8 << 20
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -43,6 +45,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(count < 2, 0).otherwise(whole).cast("long")
 
 
+def _word_figures(text: Column) -> Column:
+    """Struct of n (words) and r (repeated words) of one text; a null text counts as empty."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r")))
+
+
 def _facts(text: Column) -> Column:
     """Struct of the base figures of one text; a null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
@@ -51,21 +59,14 @@ def _facts(text: Column) -> Column:
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(
-            F.filter(F.split(text, SPACE), lambda w: w != ""),
-            lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r")),
-        ).alias("w"),
+        _word_figures(text).alias("w"),
     )
     return packed
 
 
-def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column `facts`: word_chars, n_symbols, n_dup_lines, w.n (words), w.r (repeated words)."""
-    return docs.withColumn("facts", _facts(F.col(text)))
-
-
-def failed(facts: Column) -> Column:
-    return (facts["w"]["n"] < MIN_WORDS) | (100 * facts["w"]["r"] > MAX_REPEAT_PERCENT * facts["w"]["n"])
+def failed(figures: Column) -> Column:
+    """The base verdict from the word figures of a text."""
+    return (figures["n"] < MIN_WORDS) | (100 * figures["r"] > MAX_REPEAT_PERCENT * figures["n"])
 
 
 def host_verdicts(judged: DataFrame, host: str = "source", base: str = "base_failed", host_limit: float = HOST_LIMIT) -> DataFrame:
@@ -96,7 +97,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", hos
     facts = docs.select("doc_id", F.col(host).alias("host_of"), _facts(F.col(text)).alias("f"))
     judged = facts.select(
         "doc_id", "host_of", F.col("f.w.n").alias("n_words"), F.col("f.word_chars"), F.col("f.n_symbols"), F.col("f.n_dup_lines"),
-        F.col("f.w.r").alias("n_repeat_words"), failed(F.col("f")).alias("base_failed"),
+        F.col("f.w.r").alias("n_repeat_words"), failed(F.col("f.w")).alias("base_failed"),
     )
     judged = checkpointed(judged)  # a few figures a document, so that hosts and verdicts read texts once
     hosts = host_verdicts(judged, "host_of", host_limit=host_limit)
@@ -110,14 +111,21 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", hos
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with the columns of docs."""
-    fact, bad = own_name(docs, "facts"), own_name(docs, "host_bad")
-    judged = docs.withColumn(fact, failed(_facts(F.col(text))))
-    hosts = host_verdicts(judged, host, fact, host_limit).select("host", F.col("host_bad").alias(bad))
-    name = own_name(judged, "host_name")
-    hosts = hosts.withColumnRenamed("host", name)
-    kept = judged.join(hosts, F.col(host).eqNullSafe(hosts[name]), "left").filter(~F.col(fact) & ~F.coalesce(bad, F.lit(False)))
-    return kept.select(*docs.columns)
+    """The rows of docs that quality_rules keeps, with the columns of docs.
+
+    Texts are never shuffled by host, of which one may hold a third of them, unless the rejected hosts'
+    names exceed BROADCAST_BYTES.
+    """
+    bad_text = let(_word_figures(F.col(text)), failed)
+    judged = docs.select(F.col(host).alias("host_of"), bad_text.alias("base_failed"))
+    rejected = checkpointed(host_verdicts(judged, "host_of", host_limit=host_limit).filter("host_bad").select("host"))
+    size = rejected.agg(F.sum(F.coalesce(F.octet_length(F.col("host").cast("string")), F.lit(0)) + 16)).first()[0] or 0
+    good = docs.filter(~bad_text)
+    if size == 0:
+        return good
+    name = own_name(docs, "rejected_host")
+    rejected = rejected.withColumnRenamed("host", name)
+    return good.join(F.broadcast(rejected) if size <= BROADCAST_BYTES else rejected, good[host].eqNullSafe(rejected[name]), "left_anti")
 
 
 #: The same in DuckDB SQL.
