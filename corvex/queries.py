@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import classify, dates, text
-from .functions.constants import FIELD_IMPACTS
+from .functions.constants import FACET_WORDS, FIELD_IMPACTS, TASK_FORM, TASK_INNOVATION, TASK_WORDS
 from .functions.snippet import snippet_column
 from .operators import aggregates, documents, exams, postings, quality, shards
 from .plans import rank, router, search
@@ -680,3 +680,92 @@ def windowed_counts(spark, sf_dir):
     from .streaming.incremental import windowed_counts as counts
 
     return counts(table(spark, sf_dir, "events")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+# --- classification, dates and labels over text made from ids
+
+
+YEARLY = "(2015 + doc_id % 9) || '-' || (2016 + doc_id % 7) || '学年' || CASE doc_id % 3 WHEN 0 THEN '第一学期' WHEN 1 THEN '下学期' ELSE '' END"
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = doc_id % 9 THEN (2015 + doc_id % 9) || '-' || (2016 + doc_id % 7) END AS academic_year, CASE doc_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' END AS term FROM documents")
+def academic_years(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(YEARLY).alias("label"))
+    return rows.select("doc_id", dates.infer_academic_year("label").alias("academic_year"), dates.infer_term("label", stable=True).alias("term"))
+
+
+def any_of(x: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+LABELS = ["期末考试安排", "管理办法", "办事流程", "资料下载", "校园新闻", "校历", "选课通知", "奖学金公示", "互联网+大赛", "一般通知"]
+#: Every document under one of these labels, with the kinds of DOCS.
+LABELLED = f"WITH {DOCS}, t AS (SELECT doc_index, source_id, record_type, [{', '.join(repr(x) for x in LABELS)}][doc_index % {len(LABELS)} + 1] AS label FROM d), f AS (SELECT *, CASE WHEN record_type = 'external' THEN 'external' WHEN record_type = 'attachment' THEN 'download' " + " ".join(f"WHEN {any_of('label', words)} THEN '{facet}'" for facet, words in FACET_WORDS) + " ELSE 'notice_article' END AS facet FROM t)"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("doc_index") % len(LABELS) + 1).cast("int"))
+    rows = documents_of(spark, sf_dir).select("doc_index", "source_id", "record_type", label.alias("label"))
+    return rows.withColumn("facet", classify.infer_facet(F.col("record_type"), F.col("label")))
+
+
+@query(f"{LABELLED} SELECT doc_index, facet FROM f")
+def facet_labels(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("doc_index", "facet")
+
+
+@query(f"{LABELLED}, k AS (SELECT doc_index, source_id, CASE WHEN record_type = 'attachment' OR facet = 'download' OR {any_of('label', TASK_FORM)} THEN 'form_download' " + " ".join(f"WHEN {any_of('label', words)} THEN '{kind}'" for kind, words in TASK_WORDS) + f" WHEN {any_of('label', TASK_INNOVATION)} THEN 'innovation_entrepreneurship' ELSE 'broad_exploratory' END AS task_kind FROM f) SELECT doc_index, task_kind, source_id || '_' || task_kind AS profile FROM k")
+def task_kinds(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).withColumn("task_kind", classify.infer_task_kind(F.col("source_id"), F.col("facet"), F.col("record_type"), F.col("label")))
+    return rows.select("doc_index", "task_kind", classify.authority_profile(F.col("source_id"), F.col("task_kind")).alias("profile"))
+
+
+@query(f"WITH {DOCS} SELECT doc_index, coalesce(replace(published_at, '-', '/'), '日期未标注') AS label FROM d")
+def date_labels(spark, sf_dir):
+    return documents_of(spark, sf_dir).select("doc_index", dates.format_search_date("published_at").alias("label"))
+
+
+@query("SELECT page_id FROM pages WHERE contains(html, 'href') AND NOT contains(html, '<table') AND (contains(html, '<p') OR contains(html, '<li'))")
+def notice_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").filter(readers.notice_title(F.col("html"), ["href"], ["<p", "<li"], ["<table"])).select("page_id")
+
+
+# --- faults, gates and limits
+
+
+@query(f"WITH {SCOPED} SELECT shard_id, count(*)::BIGINT AS document_count, nullif(count(*) FILTER (record_type <> 'external' AND facet <> 'en'), 0)::BIGINT AS actual FROM s GROUP BY shard_id HAVING count(*) <> count(*) FILTER (record_type <> 'external' AND facet <> 'en')")
+def shard_faults(spark, sf_dir):
+    docs = with_scope(documents_of(spark, sf_dir))
+    return quality.shard_count_faults(shards.catalog(docs), docs.filter("record_type <> 'external' and facet <> 'en'"))
+
+
+@query(f"WITH {SCOPED} SELECT DISTINCT index_id, shard_id FROM s WHERE shard_id NOT IN (SELECT shard_id FROM s WHERE year <> 'undated')")
+def index_faults(spark, sf_dir):
+    docs = with_scope(documents_of(spark, sf_dir))
+    known = docs.filter("year <> 'undated'").select("shard_id").distinct()
+    return quality.index_faults(router.local_indexes(docs), known).select("index_id", "shard_id")
+
+
+@query("WITH p AS (SELECT event_type AS phase, count(*)::BIGINT AS bytes FROM events GROUP BY 1) SELECT phase, bytes <= 100 OR bytes <= 0.9 * (SELECT max(bytes) FROM p) AS ok FROM p")
+def phase_gates(spark, sf_dir):
+    phases = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("phase")).agg(F.count(F.lit(1)).alias("bytes"))
+    return quality.phase_gate(phases, 100, 0.9)
+
+
+@query(f"WITH {DOCS} SELECT source_id, least(100, greatest(0, round(100.0 * count(published_at) / count(*))))::INTEGER AS progress FROM d GROUP BY source_id")
+def coverage_progress(spark, sf_dir):
+    counted = documents_of(spark, sf_dir).groupBy("source_id").agg(F.count("published_at").alias("done"), F.count(F.lit(1)).alias("total"))
+    return counted.select("source_id", aggregates.coverage_progress(F.col("done"), F.col("total")).alias("progress"))
+
+
+@query(f"WITH {SCOPED}, c AS (SELECT doc_index, shard_id, length(title)::BIGINT AS light_score FROM s ORDER BY light_score DESC, doc_index LIMIT 96), r AS (SELECT *, min(row) OVER (PARTITION BY shard_id) AS first_row FROM (SELECT *, row_number() OVER (ORDER BY light_score DESC, doc_index) AS row FROM c)) SELECT doc_index, shard_id, light_score FROM r WHERE first_row IN (SELECT DISTINCT first_row FROM r ORDER BY first_row LIMIT 12)")
+def shard_limited(spark, sf_dir):
+    docs = with_scope(documents_of(spark, sf_dir)).select("doc_index", "shard_id", F.length("title").cast("long").alias("light_score"))
+    return router.limit_shards(docs.orderBy(F.desc("light_score"), "doc_index").limit(96), 12)
+
+
+@query("SELECT 'total_records' AS metric, count(*)::BIGINT - 1 AS total_records, count(*)::BIGINT AS rows FROM events")
+def manifest_faults(spark, sf_dir):
+    exam_rows = _exams(spark, sf_dir)
+    manifest = table(spark, sf_dir, "events").agg((F.count(F.lit(1)) - 1).alias("total_records")).select(F.lit("total_records").alias("metric"), "total_records")
+    return quality.manifest_count_faults(manifest, exam_rows)
