@@ -118,6 +118,18 @@ def test_quality_hosts(spark):
     assert sorted(r["doc_id"] for r in quality_rules.keep_good(table(spark, rows).withColumn("host_bad", F.lit(1))).collect()) == kept
     twice = next(r for r in got if r["n_words"] == 40)
     assert twice["n_repeat_words"] == 40 and twice["base_failed"]
+
+
+@pytest.mark.parametrize("most", [0, 8 << 20])  # rejected hosts by a shuffle, and broadcast
+def test_rejected_hosts(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "BROADCAST_BYTES", most)
+    good = " ".join(f"word{i}" for i in range(20))
+    rows = [(i, good, "good") for i in range(30)] + [(100 + i, "bad", None) for i in range(60)] + [(300, good, None), (301, good, "other"), (301, good, "other"), (None, good, "good")]
+    docs = table(spark, rows).withColumn("rejected_host", F.lit("x"))
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, *range(30), 301, 301]
+    assert quality_rules.keep_good(docs.filter("false")).count() == 0
     assert quality_rules.quality_rules(table(spark, [])).count() == 0
 
 
