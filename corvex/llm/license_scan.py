@@ -4,8 +4,10 @@ Words are runs of a-z and 0-9 of the lower-cased text; shingles are five words.
 some template has decide containment, so a window is reduced to those before its MinHash: a window
 that holds a template then has a high Jaccard similarity to it however much other text is around.
 With one row per band and `bands` bands, a window at similarity s is retrieved with probability
-1 - (1 - s) ** bands: 0.99996 for s = 0.27 at 32 bands, the lowest that three templates of the
-standard set in one window give. Exact shingle containment then decides.
+1 - (1 - s) ** bands, which is no guarantee: beside a template of 16 shingles, one of a single shingle
+has s = 1/17 and is retrieved at 32 bands with probability 0.86. So a template is also looked up by its
+sketch, its lowest n - m + 1 of n shingles where m are enough: a window with m of the n has one of
+the sketch, whatever else it holds. Exact shingle containment then decides.
 """
 
 from __future__ import annotations
@@ -44,6 +46,17 @@ def _bands(shingles: Column, bands: int) -> Column:
     return F.array(*(F.struct(F.lit(b).alias("band"), low(b).alias("low")) for b in range(bands)))
 
 
+def _keys(bands: Column, shingles: Column) -> Column:
+    """Bands, and shingles as keys of a band of their own, -1."""
+    return F.concat(bands, F.transform(shingles, lambda h: F.struct(F.lit(-1).alias("band"), h.alias("low"))))
+
+
+def _sketch(want: Column, containment: float) -> Column:
+    """The lowest shingles of a template, so many that no `containment` of it misses them all."""
+    enough = F.ceil(F.size(want) * F.lit(float(containment)) - 1e-9)  # a rounding error must not shorten the sketch
+    return F.slice(F.array_sort(want), 1, (F.size(want) - F.greatest(enough, F.lit(1)) + 1).cast("int"))
+
+
 def standard_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES), "license string, text string")
 
@@ -70,8 +83,8 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, text: str
     hits = rows.join(F.broadcast(vocabulary), "h", "left_semi")
     spread = hits.withColumn("win", F.explode(F.array(F.floor(F.col("at") / step), F.floor(F.col("at") / step) - 1)))
     windows = spread.groupBy("doc_id", "row", "win").agg(F.collect_set("h").alias("have"), F.min("at").alias("at"))
-    found = windows.select("doc_id", "row", "win", "at", "have", F.explode(_bands(F.col("have"), bands)).alias("b")).select("doc_id", "row", "win", "at", "have", "b.*")
-    index = known.select("license", "want", F.explode(_bands(F.col("want"), bands)).alias("b")).select("license", "want", "b.*")
+    found = windows.select("doc_id", "row", "win", "at", "have", F.explode(_keys(_bands(F.col("have"), bands), F.col("have"))).alias("b")).select("doc_id", "row", "win", "at", "have", "b.*")
+    index = known.select("license", "want", F.explode(_keys(_bands(F.col("want"), bands), _sketch(F.col("want"), containment))).alias("b")).select("license", "want", "b.*")
     pairs = found.join(F.broadcast(index), ["band", "low"]).dropDuplicates(["doc_id", "row", "win", "license"])
     share = F.size(F.array_intersect("have", "want")) / F.size("want")
     good = pairs.withColumn("containment", share).filter(F.col("containment") >= containment)
