@@ -6,8 +6,10 @@ the fewest pieces. The score of a piece of rank r is -ln(r + 2), the shape of a
 vocabulary sorted by frequency; every single byte is a piece, so every text has a segmentation.
 
 The distinct pre-tokens of a batch, sorted, are the trie in depth-first order: the stack of forward
-scores is cut back to the prefix shared with the one before, and only the rest is computed. Terminal
-counts are stored, up to `keep` of them, for the batches that follow.
+scores is cut back to the prefix shared with the one before, and only the rest is computed. Pieces that
+end at a place are found by a walk back from it, as in a trie of reversed pieces, so long pieces cost
+only where they match. Of a pre-token longer than STACK only a window of last scores is kept. Terminal
+counts of pre-tokens of up to STORED characters are stored, up to `keep` of them, for the batches that follow.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+STACK, STORED = 1 << 16, 256
 PRE_TOKEN = re.compile(r"\x20?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+?(?=\x20[^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
 
 
@@ -38,8 +41,24 @@ def vocabulary(path: str) -> tuple[dict[bytes, float], int]:
     return scores, max(map(len, scores))
 
 
+def with_tails(scores: dict[bytes, float]) -> dict[bytes, float | None]:
+    """The scores, and None for what only ends some piece: a walk back from a place stops where neither is met."""
+    return {piece[i:]: None for piece in scores for i in range(1, len(piece))} | scores
+
+
+@lru_cache(maxsize=4)
+def pieces(path: str) -> tuple[dict[bytes, float | None], int]:
+    scores, longest = vocabulary(path)
+    return with_tails(scores), longest
+
+
 def count_pieces(words: list[bytes], scores: dict[bytes, float], longest: int) -> dict[bytes, int]:
     """Pieces in the best segmentation of each word."""
+    return count_walked(words, with_tails(scores), longest)
+
+
+def count_walked(words: list[bytes], table: dict[bytes, float | None], longest: int, most: int = STACK) -> dict[bytes, int]:
+    """The same, given scores with tails. Of a stack of more than `most` scores only the last `longest` are kept."""
     out: dict[bytes, int] = {}
     stack: list[tuple[float, int]] = [(0.0, 0)]  # (best score, -pieces) of each prefix of the current path
     before = b""
@@ -50,50 +69,58 @@ def count_pieces(words: list[bytes], scores: dict[bytes, float], longest: int) -
                 break
             shared += 1
         del stack[shared + 1 :]
+        gone = 0  # prefixes dropped from the front of the stack
         for end in range(shared + 1, len(word) + 1):
             best = (-math.inf, 0)
             for start in range(end - 1, max(-1, end - longest - 1), -1):
-                score = scores.get(word[start:end])
+                score = table.get(word[start:end], False)
+                if score is False:
+                    break
                 if score is not None:
-                    have = stack[start]
+                    have = stack[start - gone]
                     new = (have[0] + score, have[1] - 1)
                     if new > best:
                         best = new
             stack.append(best)
+            if len(stack) > most + longest:
+                gone += len(stack) - longest
+                del stack[:-longest]
         out[word] = -stack[-1][1]
         before = word
+        if gone:  # its prefixes are no longer all there to share
+            stack, before = [(0.0, 0)], b""
     return out
 
 
-def token_counts(docs: DataFrame, text: str = "text", path: str = VOCABULARY, longest: int = 16, keep: int = 400_000, chunk: int = 4096) -> DataFrame:
+def token_counts(docs: DataFrame, text: str = "text", path: str = VOCABULARY, keep: int = 400_000) -> DataFrame:
     """One row per row of docs, repeated ones included: doc_id, n_bytes, n_pretokens, n_tokens.
 
-    Pieces of more than `longest` bytes are left out of the vocabulary. A pre-token of more than `chunk`
-    characters is cut every `chunk` characters, so that the stack stays bounded. Null and empty texts
-    have 0 of each; null doc_ids stay null; an empty table gives no rows; extra columns are not read.
-    `path` must be readable by every executor.
+    The whole vocabulary counts, and no pre-token is cut. Null and empty texts have 0 of each; null
+    doc_ids stay null; an empty table gives no rows; extra columns are not read. `path` must be readable
+    by every executor.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores, most = vocabulary(path)
-        scores = {k: v for k, v in scores.items() if len(k) <= longest}
-        most = min(most, longest)
+        scores, longest = pieces(path)
         known: dict[str, int] = {}
         for batch in batches:
             n_bytes, n_pre, n_tok = [], [], []
             for part in range(0, len(batch), 256):
                 texts = [t or "" for t in batch["text"].iloc[part : part + 256]]
-                cut = [[p for w in PRE_TOKEN.findall(t) for p in ([w] if len(w) <= chunk else [w[i : i + chunk] for i in range(0, len(w), chunk)])] for t in texts]
+                cut = [PRE_TOKEN.findall(t) for t in texts]
                 new = list({w for words in cut for w in words if w not in known})
                 if len(known) + len(new) > keep:
                     known.clear()
                     new = list({w for words in cut for w in words})
                 coded = [w.encode("utf-8", "surrogatepass") for w in new]
-                counts = count_pieces(coded, scores, most)
+                counts = count_walked(coded, scores, longest)
                 known.update(zip(new, map(counts.__getitem__, coded), strict=True))
                 n_bytes += [len(t.encode("utf-8", "surrogatepass")) for t in texts]
                 n_pre += [len(words) for words in cut]
                 n_tok += [sum(map(known.__getitem__, words)) for words in cut]
+                for w in new:
+                    if len(w) > STORED:
+                        del known[w]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": n_bytes, "n_pretokens": n_pre, "n_tokens": n_tok})
 
     kind = dict(docs.dtypes)["doc_id"]
