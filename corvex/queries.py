@@ -143,6 +143,14 @@ def postings_build(spark, sf_dir):
     return rows.groupBy("field").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("term").alias("terms"), F.countDistinct("doc_index").alias("docs"))
 
 
+@query()
+def postings_whole(spark, sf_dir):
+    """Postings of all fields over whole documents; postings_build has titles alone."""
+    docs = documents_of(spark, sf_dir).withColumn("summary", text.summarize(F.col("content"), F.col("title")))
+    rows = postings.light_postings(docs, stable=True).unionByName(postings.body_postings(docs, stable=True))
+    return rows.groupBy("field").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("term").alias("terms"), F.countDistinct("doc_index").alias("docs"))
+
+
 #: Postings of words as they stand in lower case: frequent terms, so that scores and document frequencies say something.
 WORDS = r"p AS (SELECT DISTINCT doc_id AS doc_index, CASE WHEN k = 0 THEN 't' ELSE 'c' END AS field, unnest(regexp_extract_all(lower(CASE WHEN k = 0 THEN string_split(text, chr(10))[1] ELSE text END), '[a-z0-9][a-z0-9._-]+')) AS term FROM documents, (VALUES (0), (1)) AS f(k))"
 IMPACT = "CASE field WHEN 't' THEN {t} ELSE {c} END + least(length(term), 8)".format(**FIELD_IMPACTS)
@@ -375,6 +383,19 @@ def _proved(every: DataFrame, spark, sf_dir) -> DataFrame:
     return every.join(held, "shard_id", "left_anti")
 
 
+@query()
+def bloom_bits_whole(spark, sf_dir):
+    """Bits of the search view's blob, which has the whole texts; bloom_bits has titles alone."""
+    return shards.filter_bits(view_of(spark, sf_dir)).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("total"))
+
+
+@query()
+def bloom_prove_whole(spark, sf_dir):
+    """Shards ruled out by the bits of whole texts; a blob always has tokens, so every shard has bits."""
+    maps = shards.filter_bitmaps(shards.filter_bits(view_of(spark, sf_dir)))
+    return shards.proved_empty(maps, ["the."], safe=False)
+
+
 @query(f"WITH {SCOPED}, c AS (SELECT shard_id, any_value(source_id) AS source_id FROM s GROUP BY shard_id), l AS (SELECT CASE WHEN source_id <> 'src2' THEN 'out' WHEN hash % 3 = 0 THEN 'scanned' WHEN hash % 3 = 1 THEN 'proved' ELSE 'pending' END AS state FROM (SELECT *, ('0x' || substr(md5(shard_id), 1, 6))::BIGINT AS hash FROM c)) SELECT count(*) FILTER (state = 'pending')::BIGINT AS pending, count(*) FILTER (state = 'scanned')::BIGINT AS scanned, count(*) FILTER (state = 'proved')::BIGINT AS proved_no_match, 0::BIGINT AS failed, count(*) FILTER (state = 'out')::BIGINT AS out_of_scope, count(*)::BIGINT AS total, count(*) FILTER (state = 'pending') = 0 AS complete FROM l")
 def proof_ledger_summary(spark, sf_dir):
     docs = with_scope(documents_of(spark, sf_dir))
