@@ -132,6 +132,14 @@ def fnv_hash(spark, sf_dir):
     return rows.select("token", F.col("seed").cast("long").alias("seed"), "h", (F.col("h") % 16384).alias("bit"))
 
 
+@query()
+def fnv_hash_tokens(spark, sf_dir):
+    """All tokens of the whole texts; fnv_hash has one prefix of each."""
+    t = table(spark, sf_dir, "benchmark").select(F.explode(text.tokens("text", stable=True)).alias("token")).distinct()
+    rows = t.select("token", F.posexplode(F.array(*(text.fnv1a(F.col("token"), s) for s in range(3)))).alias("seed", "h"))
+    return rows.select("token", F.col("seed").cast("long").alias("seed"), "h", (F.col("h") % 16384).alias("bit"))
+
+
 # --- postings and scores
 
 
