@@ -178,6 +178,11 @@ def posting_df(spark, sf_dir):
     return word_postings(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(50)
 
 
+@query(f"WITH {WORDS} SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term ORDER BY df DESC, term")
+def posting_df_all(spark, sf_dir):
+    return word_postings(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term")
+
+
 @query(f"{SCORES} SELECT * FROM i")
 def impact_score(spark, sf_dir):
     return postings.impact_scores(word_postings(spark, sf_dir), SCORE_TERMS)
@@ -692,6 +697,11 @@ def exams_by_start(spark, sf_dir):
     return exams.by_start(_exams(spark, sf_dir)).select("id", "start_timestamp").limit(50)
 
 
+@query(f"WITH {EXAMS} SELECT id, start_timestamp FROM x ORDER BY start_timestamp NULLS LAST, id")
+def exams_by_start_all(spark, sf_dir):
+    return exams.by_start(_exams(spark, sf_dir)).select("id", "start_timestamp")
+
+
 @query()
 def ics_events(spark, sf_dir):
     rows = _exams(spark, sf_dir).filter("class_name = 'B222221'")
