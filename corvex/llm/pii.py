@@ -1,8 +1,9 @@
 """Personal data: base expressions, then bootstrapped contextual extraction; DataFrame functions only.
 
-Base entities (emails, addresses, cards, phones) are the seeds. A lexical pattern is the two words before
-an entity. Every word with a digit or an @ is an instance; patterns and instances form a graph, and each
-round scores a pattern by the mean score of its distinct instances and an instance by 1 - product(1 - score)
+Base entities (emails, addresses, cards, phones) are the seeds, whatever blanks they have. A lexical pattern
+is the two words before an entity's start, where words with a digit or an @ are alike, and so is what lies
+before the text. Every base entity, and every other word with a digit or an @ and four characters, is an
+instance; patterns and instances form a graph, and each round scores a pattern by the mean score of its distinct instances and an instance by 1 - product(1 - score)
 of its accepted patterns, seeds staying at 1. Instances that end at `accept` or more, and that no base
 entity covers, are new spans of the kind `context`.
 
@@ -32,6 +33,9 @@ EXPRESSIONS = {
 MARKED = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 
 
+BLANKS = r"[\x20\x09-\x0D]+"
+
+
 def _digits(s: Column) -> Column:
     return F.translate(s, f" ().+-{MARK}", "")
 
@@ -87,16 +91,43 @@ def _spans(kind: str, text: Column) -> Column:
     return F.when(guard, let(copy, lambda c: _places(c, EXPRESSIONS[kind], item, "struct<a:int,b:int>"))).otherwise(F.array().cast(_SPANS))
 
 
-def _instances(text: Column) -> Column:
-    """Words with a digit or an @ and the two words before each."""
-    def item(gap: Column, hit: Column, at: Column) -> Column:
-        words = let(F.substring(gap, -48, 48), lambda g: F.lower(F.regexp_extract(g, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)))
-        core = F.regexp_replace(hit, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
-        start = at + F.length(F.regexp_extract(hit, "^[^A-Za-z0-9]+", 0))
-        return F.when(F.length(core) >= 4, F.struct(start.alias("a"), (start + F.length(core)).alias("b"), core.alias("word"), F.regexp_replace(words, r"[^\p{L}\p{N}]+", " ").alias("context")))
+def _context(words: Column) -> Column:
+    """Two words as a pattern: lower case without punctuation, # for one with a digit or an @, ^ before the text's start."""
+    one = lambda w: F.when(w == "", "^").when(w.rlike("[0-9@]"), "#").otherwise(F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", " "))
+    return F.regexp_replace(F.array_join(F.transform(words, one), " "), " +", " ")
+
 
-    kind = "struct<a:int,b:int,word:string,context:string>"
-    return F.when(text.rlike("[0-9@]"), _places(text, MARKED, item, kind)).otherwise(F.array().cast(f"array<{kind}>"))
+def _marked(text: Column) -> Column:
+    """Words with a digit or an @: place, the word and the two words before it ('' before the text's start)."""
+    kind = "array<struct<at:int,hit:string,before:array<string>>>"
+    zipped = F.zip_with(F.split(text, MARKED, -1), F.regexp_extract_all(text, F.lit(MARKED), F.lit(0)), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    none = F.array().cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        words = F.filter(F.split(x["g"], BLANKS), lambda w: w != "")
+        put = lambda before: F.struct(
+            (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["h"]), F.lit(0))).alias("at"),
+            F.array(before[1], F.coalesce(x["h"], F.lit(""))).alias("last"),
+            F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("at"), x["h"].alias("hit"), before.alias("before"))))).alias("out"),
+        )
+        return let(F.slice(F.concat(acc["last"], words), -2, 2), put)
+
+    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(""), F.lit("")).alias("last"), none.alias("out"))
+    return F.when(text.rlike("[0-9@]"), F.aggregate(zipped, start, step)["out"]).otherwise(none)
+
+
+def _instances(seen: Column, spans: Column) -> Column:
+    """What a marked word gives, as a, b, word, context, seed: each base span that starts in it is a seed; a word that no span covers is itself one, if its core has 4 characters."""
+    end = seen["at"] + F.length(seen["hit"])
+    head = lambda x: F.substring(seen["hit"], F.lit(1), x["a"] - seen["at"])
+    before = lambda x: F.when(head(x).rlike(r"[\p{L}\p{N}]"), F.array(seen["before"][1], head(x))).otherwise(seen["before"])
+    item = lambda a, b, word, words, seed: F.struct(a.alias("a"), b.alias("b"), word.alias("word"), _context(words).alias("context"), F.lit(seed).alias("seed"))
+    seeds = F.transform(F.filter(spans, lambda x: (x["a"] >= seen["at"]) & (x["a"] < end)), lambda x: item(x["a"], x["b"], x["word"], before(x), True))
+    core = F.regexp_replace(seen["hit"], "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+    first = seen["at"] + F.length(F.regexp_extract(seen["hit"], "^[^A-Za-z0-9]+", 0))
+    covered = F.exists(spans, lambda x: (x["a"] < first + F.length(core)) & (first < x["b"]))
+    own = F.when(~covered & (F.length(core) >= 4), F.array(item(first, first + F.length(core), core, seen["before"], False))).otherwise(F.array().cast("array<struct<a:int,b:int,word:string,context:string,seed:boolean>>"))
+    return F.concat(seeds, own)
 
 
 def base_spans(text: Column) -> Column:
@@ -112,16 +143,16 @@ def _listed(kind: str, spans: Column) -> Column:
 def found_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, row, base spans and instances of every row of docs, checkpointed: texts are read once."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return checkpointed(docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), base_spans(F.col(text)).alias("base"), _instances(t).alias("seen")))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), base_spans(F.col(text)).alias("base"), _marked(t).alias("seen"), t.alias("t"))
+    word = lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.substring(F.col("t"), s["a"] + 1, s["b"] - s["a"]).alias("word"))
+    held = F.transform(F.concat(*(F.col(f"base.{k}") for k in KINDS[:4])), word)
+    return checkpointed(rows.select("doc_id", "row", "base", "seen", held.alias("held")))
 
 
 def discovered(rows: DataFrame, accept: float = ACCEPT, pattern_score: float = PATTERN_SCORE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """row and context spans (an array) of rows in which accepted patterns find unseen identifiers."""
-    spans = F.concat(*(F.col(f"base.{k}") for k in KINDS[:4]))
-    seen = rows.dropDuplicates(["row"]).filter(F.size("seen") > 0).select("row", F.explode("seen").alias("s"), spans.alias("spans"))
-    seed = F.exists("spans", lambda x: (x["a"] < F.col("s.b")) & (F.col("s.a") < x["b"]) & (x["a"] >= F.col("s.a") - 2))
-    covered = F.exists("spans", lambda x: (x["a"] < F.col("s.b")) & (F.col("s.a") < x["b"]))
-    graph = checkpointed(seen.select("row", "s.*", seed.alias("seed"), covered.alias("covered")).filter("(seed or not covered) and context <> ''"))
+    seen = rows.dropDuplicates(["row"]).filter(F.size("seen") > 0).select("row", F.explode("seen").alias("s"), "held")
+    graph = checkpointed(seen.select("row", F.explode(_instances(F.col("s"), F.col("held"))).alias("i")).select("row", "i.*"))
     edges = graph.groupBy("context", "word").agg(F.max(F.col("seed").cast("double")).alias("seed"))
     words = edges.groupBy("word").agg(F.max("seed").alias("score"))
     for _ in range(rounds):
@@ -130,7 +161,7 @@ def discovered(rows: DataFrame, accept: float = ACCEPT, pattern_score: float = P
         # 1 - product(1 - p), held off 0 for the logarithm
         reach = edges.join(patterns, "context", "left").groupBy("word").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(1 - F.coalesce("p", F.lit(0.0)), F.lit(1e-9)))).alias("l"))
         words = reach.select("word", F.greatest("seed", 1 - F.exp("l")).alias("score"))
-    new = graph.filter("not covered").join(words.filter(F.col("score") >= accept), "word").join(patterns.select("context"), "context", "left_semi")
+    new = graph.filter("not seed").join(words.filter(F.col("score") >= accept), "word").join(patterns.select("context"), "context", "left_semi")
     return new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("context"))
 
 
