@@ -63,8 +63,17 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def strings(values: list):
+def by_python(docs: DataFrame, run, schema: str, text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """docs.mapInPandas over doc_id, text and more, giving doc_id and the columns of schema. doc_id travels as a
+    string: one null in a batch of longs would turn its ids into floats, which round those above 2 ** 53."""
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text).alias("text"), *more)
+    out = rows.mapInPandas(run, f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def strings(values):
     """A column of Python strings; pandas' own string type may reach Arrow in pieces, which Spark rejects."""
     import pandas as pd
 
-    return pd.Series(values, dtype=object)
+    return pd.Series([None if v is None or v != v else v for v in values], dtype=object)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, own_name, partitions
+from .common import by_python, checkpointed, own_name, partitions, strings
 
 RADIUS, SHINGLE, SHARD_ROWS = 3, 3, 4096
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -57,9 +57,9 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": strings(batch["doc_id"]), "fp": fps.view(np.int64)})
 
-    return docs.select("doc_id", docs[text].alias("text")).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return by_python(docs, run, "fp long", text)
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
@@ -217,10 +217,11 @@ def grouped(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None,
 def one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The rows of docs with the smallest doc_id of their group, one row each; rows with a null doc_id stay only if their group has no other, one row per text."""
     groups = simhash_groups(docs, text, **how)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
-    if repeated.isEmpty():
+    name = own_name(docs, "kept_id")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    keep = checkpointed(groups.groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias("n"), F.bool_or(first).alias("first")).filter("first"))
+    rows = docs.join(keep.select(name), docs["doc_id"].eqNullSafe(keep[name]), "left_semi")
+    if keep.filter("n > 1").isEmpty():  # seen from the fingerprints, without another pass over texts
         return rows
     null_id = F.when(F.col("doc_id").isNull(), F.xxhash64(text))
     order = Window.partitionBy("doc_id", null_id).orderBy(F.xxhash64(text))
