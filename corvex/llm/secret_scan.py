@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import strings
+from .common import by_python, strings
 
 #: The kinds in order, their keywords, and their expressions.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -93,12 +93,11 @@ def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             found = [scan(t, machine) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
+                "doc_id": strings(batch["doc_id"]),
                 **{f"n_{kind}": [sum(k == i for _, k, _ in x) for x in found] for i, kind in enumerate(KINDS[:3])},
                 "base_sha256": strings([hashlib.sha256(joined(x, base=True).encode()).hexdigest() for x in found]),
                 "spans": strings([joined(x) for x in found]),
                 "n_checked": [sum(k > 2 for _, k, _ in x) for x in found],
             })
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", docs[text].alias("text")).mapInPandas(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_checked long")
+    return by_python(docs, run, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_checked long", text)
