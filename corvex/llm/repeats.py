@@ -3,8 +3,7 @@
 Symbols are words (their 64-bit hashes) or bytes. A window is `width` consecutive symbols. Every window
 has an anchor: the position of the smallest hash of a gram of `gram` symbols in it. Equal windows have
 equal anchors, so windows are sorted into groups by their anchor's hash, and consecutive windows with one
-anchor travel as one segment. Three passes read the same exchange of texts, dealt into blocks of about
-`block_bytes`:
+anchor travel as one segment. Three passes read the same exchange of texts, dealt into blocks:
 
 1. each block reports the hashes of its anchors, once each; those of one document of the whole
    collection alone are dropped;
@@ -13,9 +12,15 @@ anchor travel as one segment. Three passes read the same exchange of texts, deal
    part) finds the repeats, and each block gets those that reach back to a smaller doc_id;
 3. each block marks its documents and digests what is left.
 
-A group has at most one entry from each block and distinct segment, however many documents hold it; an
-anchor of more than `split` documents is split into windows, grouped by their whole content. Blocks are
-dealt by a hash of doc_id and number of symbols, so one key never decides where a third of rows go.
+A group has at most one entry from each block and distinct segment, however many documents hold it. An
+anchor of more than `split` entries is hot: its windows go by their whole content, as hashes alone, since
+a window's own copies are all that it can repeat; so a line that many documents hold never fills a group.
+
+What blocks and groups send each other travels in packets, one for each block and bucket of groups.
+There are as many buckets as shuffle partitions, each with a partition of its own, or a small multiple
+of that where a bucket would have more than `bucket_bytes` of text; blocks grow by the same multiple, so
+that packets grow in proportion to the input. Blocks are dealt by a hash of doc_id and number of symbols,
+so one key never decides where a third of rows go.
 """
 
 from __future__ import annotations
@@ -54,11 +59,11 @@ BYTE_VALUES = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 @dataclass(frozen=True)
 class Plan:
-    """width: symbols of a window; gram: of an anchor; split: documents beyond which an anchor's windows go by whole content."""
+    """width: symbols of a window; gram: of an anchor; split: entries beyond which an anchor's windows go by whole content."""
 
     width: int = 50
     gram: int = 24
-    split: int = 100_000
+    split: int = 20_000
 
     @property
     def span(self) -> int:
@@ -66,6 +71,30 @@ class Plan:
         return self.width - self.gram + 1
 
 
+def even_keys(parts: int, each: int = 1) -> np.ndarray:
+    """Integers that Spark's hash partitioning (Murmur3 of an int, seed 42) deals evenly: `each` to each of
+    `parts` partitions; number i goes to partition i % parts."""
+    out = np.zeros((each, parts), np.int32)
+    have = np.zeros(parts, np.int64)
+    first, size = 0, 1 << 16
+    while (have < each).any():
+        key = np.arange(first, first + size, dtype=np.int64).astype(np.uint32)
+        turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+        h = turn(key * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+        h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        place = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
+        order = np.argsort(place, kind="stable")
+        place, key = place[order], key[order].view(np.int32)
+        rank = np.arange(size) - np.searchsorted(place, place) + have[place]
+        fits = rank < each
+        out[rank[fits], place[fits]] = key[fits]
+        have += np.bincount(place, minlength=parts)
+        first += size
+    return out.ravel()
+
+
 class Hashes:
     """Hashes of any range of an array of symbols, from sums of symbol x BASE ** position."""
 
@@ -120,20 +149,17 @@ def anchors(values: np.ndarray, starts: np.ndarray, plan: Plan) -> tuple[Hashes,
     return hashes, mixed(value[head]), text[head], at[head], at[last]
 
 
-def by_window(plan: Plan, hashes: Hashes, group: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The runs, those of hot anchors as one segment for each window in a group named by its whole content.
-    Names of windows are odd, names of anchors even."""
-    group = group & ~U64(1)
-    if not hot.any():
-        return group, text, first, last
-    count = np.where(hot, last - first + 1, 1)
-    back = np.repeat(np.arange(len(first)), count)
-    one = hot[back]
-    start = first[back] + np.where(one, np.arange(len(back)) - np.repeat(np.cumsum(count) - count, count), 0)
-    end = np.where(one, start, last[back])
-    group = group[back]
-    group[one] = hashes.of(start[one], start[one] + plan.width) | U64(1)
-    return group, text[back], start, end
+def dealt(size: int, parts: int, block_bytes: int, bucket_bytes: int) -> tuple[int, int]:
+    """Blocks that `size` bytes of text are dealt into, and buckets for each of `parts` partitions."""
+    each = size // (parts * bucket_bytes) + 1
+    return max(parts, size // (block_bytes * each) + 1), each
+
+
+def windows_of(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of windows: the run and the start of each window."""
+    count = last - first + 1
+    run = np.repeat(np.arange(len(first)), count)
+    return run, first[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
 
 
 def chunks(values: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -181,10 +207,12 @@ def _hash_values(parts: np.ndarray) -> np.ndarray:
     return BYTE_VALUES[parts] if parts.dtype == np.uint8 else mixed(parts)
 
 
-def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Callable, schema: str, plan: Plan, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """digest(doc_id, text, removed ranges as an (n, 2) array of symbol places) for every row of docs, as rows of schema."""
+def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Callable, schema: str, plan: Plan, text: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
+    """digest(doc_id, text, symbols, removed ranges as an (n, 2) array of symbol places) for every row of docs, as rows of schema."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(partitions(docs), size // block_bytes + 1)
+    blocks, each = dealt(size, partitions(docs), block_bytes, bucket_bytes)
+    keys_of = even_keys(partitions(docs), each)
+    buckets = U64(len(keys_of))
     block = F.pmod(F.xxhash64("doc_id", F.octet_length(text)), F.lit(blocks)).cast("int")
     # unknown ids come after all others, so that they take nothing from a document
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("doc_id").isNull().alias("unknown"), F.col(text).alias("text"), block.alias("block"))
@@ -194,111 +222,137 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
         whole = np.concatenate(parts[a:b])
         return whole, starts, anchors(_hash_values(whole), starts, plan)
 
+    def packets(name: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+        """Keys of the buckets that names go to, and the places of the names of each."""
+        at = ((name >> U64(16)) % buckets).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        cuts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
+        return [int(keys_of[at[c[0]]]) for c in cuts], cuts
+
+    def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({n: "int32" for n in names if n in ("bucket", "block")})
+
     def report(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        """Pass 1: for each bucket, the anchors of this block and the documents that have them, up to 65,535."""
+        """Pass 1: for each bucket, the anchors of this block; of those with more than one, the documents and distinct segments, up to 65,535."""
         parts, ranges = _joined(batch["text"].tolist(), symbols)
-        found, who = [], []
+        found = []
         for a, b in ranges:
-            _, _, (_, anchor, doc, first, last) = segments(parts, a, b)
-            found.append(anchor)
-            who.append(doc + a)
+            _, _, (hashes, anchor, doc, first, last) = segments(parts, a, b)
+            found.append((anchor, doc + a, hashes.of(first, last + plan.width)))
+        names = ["bucket", "block", "keys", "many"]
         if not found:
-            return pd.DataFrame({"bucket": [], "block": [], "keys": [], "many": []}).astype({"bucket": "int32", "block": "int32"})
-        anchor, doc = np.concatenate(found), np.concatenate(who)
+            return frame([], names)
+        anchor, doc, content = (np.concatenate(x) for x in zip(*found, strict=True))
         same = np.unique(batch["doc_id"].to_numpy(), return_inverse=True)[1]  # rows of one doc_id are one document
-        order = np.lexsort((same[doc], anchor))
-        anchor, doc = anchor[order], same[doc[order]]
-        fresh = np.ones(len(anchor), bool)
-        fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        anchor = anchor[fresh]
-        head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
-        count = np.minimum(np.diff(np.append(head, len(anchor))), 65_535).astype(np.uint16)
-        anchor = anchor[head]
-        bucket = (anchor % U64(blocks)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-        many = [c[count[c] > 1] for c in cuts]
-        # most anchors are alone in their block: six bytes of each are enough to compare them
-        return pd.DataFrame({
-            "bucket": pd.array([int(bucket[c[0]]) for c in cuts], dtype="int32"),
-            "block": pd.array([int(key[0])] * len(cuts), dtype="int32"),
-            "keys": [_six(anchor[c]) for c in cuts],
-            "many": [_six(anchor[m]) + count[m].tobytes() for m in many],
-        })
+        value, back, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        again = count[back] > 1
+        of, doc, content = back[again], same[doc[again]], content[again]
+        n_docs, n_entries = np.ones(len(value), np.int64), np.ones(len(value), np.int64)
+        for number, what in ((n_docs, doc), (n_entries, content)):
+            order = np.lexsort((what, of))
+            o, w = of[order], what[order]
+            fresh = np.append(True, (o[1:] != o[:-1]) | (w[1:] != w[:-1])) if len(o) else np.zeros(0, bool)
+            number[:] = np.maximum(np.bincount(o[fresh], minlength=len(value)), 1)
+        more = (n_docs > 1) | (n_entries > 1)
+        shown = lambda x: np.minimum(x, 65_535).astype(np.uint16).tobytes()
+        rows = []
+        for bucket, c in zip(*packets(value), strict=True):
+            m = c[more[c]]
+            # most anchors are alone in their block: six bytes of each are enough to compare them
+            rows.append((bucket, int(key[0]), _six(value[c]), _six(value[m]) + shown(n_docs[m]) + shown(n_entries[m])))
+        return frame(rows, names)
 
     def recurring(batch: pd.DataFrame) -> pd.DataFrame:
         """Anchors of two documents or more, for each block that has them; the hot ones apart."""
         keys = [_unsix(x) for x in batch["keys"]]
         flat = np.concatenate(keys)
-        docs_of = np.ones(len(flat), np.int64)
+        n_docs, n_entries = np.ones(len(flat), np.int64), np.ones(len(flat), np.int64)
         base = 0
         for k, m in zip(keys, batch["many"], strict=True):
-            n = len(m) // 8
+            n = len(m) // 10
             if n:
-                docs_of[base + np.searchsorted(k, _unsix(m[: 6 * n]))] = np.frombuffer(m[6 * n :], np.uint16)
+                at = base + np.searchsorted(k, _unsix(m[: 6 * n]))
+                n_docs[at], n_entries[at] = np.frombuffer(m[6 * n : 8 * n], np.uint16), np.frombuffer(m[8 * n :], np.uint16)
             base += len(k)
         value, back = np.unique(flat, return_inverse=True)
-        total = np.bincount(back, docs_of, len(value))
-        out = {"block": [], "keys": [], "hot": []}
-        base = 0
-        for block_no, k in zip(batch["block"], keys, strict=True):
-            n = total[back[base : base + len(k)]]
+        wanted = (np.bincount(back, n_docs, len(value)) > 1)[back]
+        hot = wanted & (np.bincount(back, n_entries, len(value)) > plan.split)[back]
+        rows, base = [], 0
+        for block_no, k in zip(batch["block"].tolist(), keys, strict=True):
+            mine = slice(base, base + len(k))
             base += len(k)
-            out["block"].append(block_no)
-            out["keys"].append(_six(k[n > 1] << U64(16)))
-            out["hot"].append(_six(k[n > plan.split] << U64(16)))
-        return pd.DataFrame(out).astype({"block": "int32"})
+            if wanted[mine].any():
+                rows.append((block_no, _six(k[wanted[mine]] << U64(16)), _six(k[hot[mine]] << U64(16))))
+        return frame(rows, ["block", "keys", "hot"])
 
-    def kept_runs(parts, a, b, wanted, hot):
+    def entries(parts, a, b, wanted, hot):
+        """Group, text, place, symbols (0: a window that goes by its content) and content of each segment around a wanted anchor."""
         whole, starts, (hashes, anchor, doc, first, last) = segments(parts, a, b)
         short = anchor >> U64(16)
-        keep = _within(short, wanted)
-        anchor, doc, first, last, short = anchor[keep], doc[keep], first[keep], last[keep], short[keep]
-        group, doc, first, last = by_window(plan, hashes, anchor, doc, first, last, _within(short, hot))
-        content = hashes.of(first, last + plan.width)
-        return whole, starts, group, doc + a, first, last + plan.width, content
+        if wanted is not None:
+            keep = _within(short, wanted)
+            anchor, doc, first, last, short = anchor[keep], doc[keep], first[keep], last[keep], short[keep]
+        group, end = anchor & ~U64(1), last + plan.width
+        content = hashes.of(first, end)
+        if len(hot) and (split := _within(short, hot)).any():
+            run, start = windows_of(first[split], last[split])
+            put = lambda x, y: np.concatenate((x[~split], y))
+            group, doc, content = put(group, group[split][run] | U64(1)), put(doc, doc[split][run]), put(content, hashes.of(start, start + plan.width))
+            first, end = put(first, start), put(end, start)
+        return whole, starts, group, doc, first, end - first, content
 
     def send(key: tuple, batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """Pass 2: the distinct segments of this block around recurring anchors, by bucket."""
-        names = ["bucket", "block", "groups", "sizes", "low", "more", "symbols"]
+        names = ["bucket", "block", "groups", "sizes", "low", "more", "symbols", "windows"]
         wanted, hot = _sorted_six(known["keys"]), _sorted_six(known["hot"])
         if not len(batch) or not len(wanted):
-            return pd.DataFrame({n: [] for n in names}).astype({"bucket": "int32", "block": "int32"})
+            return frame([], names)
         ids = batch["doc_id"].to_numpy()
         parts, ranges = _joined(batch["text"].tolist(), symbols)
         rows = []
         for a, b in ranges:
-            whole, _, group, doc, first, end, content = kept_runs(parts, a, b, wanted, hot)
-            head, low, high = _distinct(group, content, ids[doc])
-            pieces = _slices(whole, first[head], end[head])
-            rows.append((group[head], content[head], (end - first)[head], low, high, pieces))
+            whole, _, group, doc, first, length, content = entries(parts, a, b, wanted, hot)
+            head, low, high = _distinct(group, content, ids[doc + a])
+            pieces = _slices(whole, first[head], (first + length)[head])
+            rows.append((group[head], content[head], length[head], low, high, pieces))
         group, content, length, low, high, pieces = (np.concatenate(x) for x in zip(*rows, strict=True))
         at = np.concatenate(([0], np.cumsum(length)))
         head, lowest, _ = _distinct(group, content, low)
         highest = _distinct(group, content, high)[2]
-        bucket = (group[head] % U64(blocks)).astype(np.int32)
-        out = {n: [] for n in names}
-        order = np.argsort(bucket, kind="stable")
-        for c in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        window = length[head] == 0
+        out = []
+        for bucket, c in zip(*packets(np.where(window, content[head], group[head])), strict=True):
             h = head[c]
-            for name, x in zip(names, (int(bucket[c[0]]), int(key[0]), _pack(group[h]), _pack(length[h].astype(np.uint16)), _pack(lowest[c]), _pack(highest[c] - lowest[c]), _pack(_slices(pieces, at[h], at[h] + length[h]))), strict=True):
-                out[name].append(x)
-        return pd.DataFrame(out).astype({"bucket": "int32", "block": "int32"})
+            out.append((
+                bucket, int(key[0]), _pack(group[h]), _pack(length[h].astype(np.uint16)), _pack(lowest[c]), _pack(highest[c] - lowest[c]),
+                _pack(_slices(pieces, at[h], at[h] + length[h])), _pack(content[h[window[c]]]),
+            ))
+        return frame(out, names)
 
     kind = symbols("").dtype
 
     def decide(batch: pd.DataFrame) -> pd.DataFrame:
         """Repeats of each group of segments, for each block that holds the segment in a later document."""
         groups, sizes = [_unpack(x, U64) for x in batch["groups"]], [_unpack(x, np.uint16).astype(np.int64) for x in batch["sizes"]]
-        texts_of = [_unpack(x, kind) for x in batch["symbols"]]
-        content = np.concatenate([_contents(x, n) for x, n in zip(texts_of, sizes, strict=True)])
+        content = []
+        for x, n, w in zip(batch["symbols"], sizes, batch["windows"], strict=True):
+            c = _contents(_unpack(x, kind), n)
+            c[n == 0] = _unpack(w, U64)
+            content.append(c)
+        content = np.concatenate(content)
         block_of = np.repeat(batch["block"].to_numpy(), [len(x) for x in groups])
-        group, length, flat = np.concatenate(groups), np.concatenate(sizes), np.concatenate(texts_of)
+        group, length, flat = np.concatenate(groups), np.concatenate(sizes), np.concatenate([_unpack(x, kind) for x in batch["symbols"]])
         low = np.concatenate([_unpack(x, np.int64) for x in batch["low"]])
         high = low + np.concatenate([_unpack(x, np.int64) for x in batch["more"]])
         at = np.concatenate(([0], np.cumsum(length)))
         head, lowest, inverse = _distinct(group, content, low, inverse=True)
-        seg, start, size, first_doc = find(group[head], length[head], _slices(flat, at[head], at[head] + length[head]), lowest, plan.width)
+        window = np.flatnonzero(length[head] == 0)
+        found = [(window, np.zeros(len(window), np.int64), np.full(len(window), plan.width), lowest[window])]
+        for p in _pieces(group[head], length[head]):
+            h = head[p]
+            seg, start, size, first_doc = find(group[h], length[h], _slices(flat, at[h], at[h] + length[h]), lowest[p], plan.width)
+            found.append((p[seg], start, size, first_doc))
+        seg, start, size, first_doc = (np.concatenate(x) for x in zip(*found, strict=True))
         # repeats of a distinct segment, to each entry of it
         order = np.argsort(seg, kind="stable")
         seg, start, size, first_doc = seg[order], start[order], size[order], first_doc[order]
@@ -308,15 +362,14 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
         place = begin[inverse][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(count[inverse]) - count[inverse], count[inverse])
         later = high[entry] > first_doc[place]
         entry, place = entry[later], place[later]
-        out = {"block": [], "names": [], "starts": [], "lengths": [], "first": []}
         order = np.argsort(block_of[entry], kind="stable")
         entry, place = entry[order], place[order]
+        rows = []
         for x in np.split(np.arange(len(entry)), np.flatnonzero(np.diff(block_of[entry])) + 1) if len(entry) else []:
             e, p = entry[x], place[x]
-            out["block"].append(int(block_of[e[0]]))
-            for name, y in (("names", _named(group[e], content[e])), ("starts", start[p].astype(np.uint16)), ("lengths", size[p].astype(np.uint16)), ("first", first_doc[p])):
-                out[name].append(_pack(y))
-        return pd.DataFrame(out).astype({"block": "int32"})
+            hot = np.unique(group[e[length[e] == 0]])
+            rows.append((int(block_of[e[0]]), _pack(_named(group[e], content[e])), _pack(start[p].astype(np.uint16)), _pack(size[p].astype(np.uint16)), _pack(first_doc[p]), _six(hot)))
+        return frame(rows, ["block", "names", "starts", "lengths", "first", "hot"])
 
     def mark(key: tuple, batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """Pass 3: the removed places of each document of the block, digested."""
@@ -331,19 +384,12 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
             start, size = (np.concatenate([_unpack(x, np.uint16) for x in known[c]]).astype(np.int64) for c in ("starts", "lengths"))
             order = np.argsort(name, kind="stable")
             name, start, size, first_doc = name[order], start[order], size[order], first_doc[order]
-            kinds = np.unique(name)
-            windows = bool((name & U64(1)).any())
+            kinds, hot = np.unique(name), _sorted_six(known["hot"])
             for a, b in ranges:
-                whole, starts, (hashes, anchor, doc, first, last) = segments(parts, a, b)
-                found, owner, where = [], [], []
-                for hot in (np.zeros(len(first), bool), np.ones(len(first), bool))[: 1 + windows]:
-                    g, d, f, e = by_window(plan, hashes, anchor, doc, first, last, hot)
-                    n = _named(g, hashes.of(f, e + plan.width))
-                    hit = _within(n, kinds)
-                    found.append(n[hit])
-                    owner.append(d[hit])
-                    where.append(f[hit])
-                n, d, f = (np.concatenate(x) for x in (found, owner, where))
+                whole, starts, group, doc, first, _, content = entries(parts, a, b, None, hot)
+                n = _named(group, content)
+                hit = _within(n, kinds)
+                n, d, f = n[hit], doc[hit], first[hit]
                 lo, hi = np.searchsorted(name, n), np.searchsorted(name, n, side="right")
                 entry = np.repeat(np.arange(len(n)), hi - lo)
                 place = lo[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
@@ -366,11 +412,32 @@ def removed_spans(docs: DataFrame, symbols: Symbols, find: Finder, digest: Calla
 
     anchors_of = texts.groupBy("block").applyInPandas(report, "bucket int, block int, keys binary, many binary")
     known = anchors_of.groupBy("bucket").applyInPandas(recurring, "block int, keys binary, hot binary")
-    sent = cogrouped(texts, known, send, "bucket int, block int, groups binary, sizes binary, low binary, more binary, symbols binary")
-    repeats = sent.groupBy("bucket").applyInPandas(decide, "block int, names binary, starts binary, lengths binary, first binary")
+    sent = cogrouped(texts, known, send, "bucket int, block int, groups binary, sizes binary, low binary, more binary, symbols binary, windows binary")
+    repeats = sent.groupBy("bucket").applyInPandas(decide, "block int, names binary, starts binary, lengths binary, first binary, hot binary")
     return cogrouped(texts, repeats, mark, schema)
 
 
+def ids_of(ids: list[int | None]):
+    """A column of ids that may be null, without a detour through floats."""
+    return pd.array(ids, dtype="Int64")
+
+
+def _pieces(group: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the segments (length above 0) of whole groups, about CHUNK symbols at a time; group is sorted."""
+    place = np.flatnonzero(length)
+    if len(place):
+        g = group[place]
+        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        number = (np.cumsum(length[place])[begin] - length[place][begin]) // CHUNK
+        yield from np.split(place, begin[1:][np.diff(number) > 0])
+
+
+def alone(group: np.ndarray) -> np.ndarray:
+    """Whether each segment is the only distinct one of its group. group is sorted."""
+    differs = group[1:] != group[:-1]
+    return np.append(True, differs) & np.append(differs, True) if len(group) else np.zeros(0, bool)
+
+
 def _six(x: np.ndarray) -> bytes:
     """The top six bytes of each value."""
     return np.ascontiguousarray((x.astype(">u8").view(np.uint8).reshape(-1, 8))[:, :6]).tobytes()

@@ -11,47 +11,63 @@ that repeats lies in a maximal repeat with the same occurrences, so that is the
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .repeats import Plan, _slices, removed_spans
+from .repeats import Hashes, Plan, _hash_values, _slices, ids_of, removed_spans
 
 PLAN = Plan(width=50, gram=24)
-#: Suffixes sorted at a time, if their groups allow it.
+#: Suffixes sorted at a time; only those that begin with one and the same window can be more.
 SLAB = 150_000
 
 
-def slabs(group: np.ndarray, length: np.ndarray, width: int):
-    """Ranges of segments, whole groups each, of about SLAB suffixes; only groups of two distinct segments or more. group is sorted."""
+def suffixes_of(length: np.ndarray, members: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and start of every suffix of the segments in members that holds a window."""
+    count = length[members] - width + 1
+    seg = np.repeat(members, count)
+    return seg, np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def slabs(group: np.ndarray, length: np.ndarray, at: np.ndarray, flat: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Segment and start of suffixes, about `most` at a time, of groups of two distinct segments or more:
+    whole groups, and of a larger group all that begin with the same windows. group is sorted."""
     head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
     end = np.append(head[1:], len(group))
-    n = length - width + 1
-    many = end - head > 1
+    total = np.append(0, np.cumsum(length - width + 1))
     size, members = 0, []
-    for a, b in zip(head[many].tolist(), end[many].tolist(), strict=True):
+    for a, b, n in zip(head.tolist(), end.tolist(), (total[end] - total[head]).tolist(), strict=True):
+        if b - a < 2:
+            continue
+        if n > most:
+            seg, start = suffixes_of(length, np.arange(a, b), width)
+            base = at[a]
+            name = Hashes(_hash_values(flat[base : at[b]])).of(at[seg] + start - base, at[seg] + start - base + width)
+            order = np.argsort(name, kind="stable")
+            name = name[order]
+            fresh = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            for part in np.split(order, fresh[1:][np.diff(fresh // most) > 0]):
+                yield seg[part], start[part]
+            continue
         members.append(np.arange(a, b))
-        size += int(n[a:b].sum())
-        if size >= SLAB:
-            yield np.concatenate(members)
+        size += n
+        if size >= most:
+            yield suffixes_of(length, np.concatenate(members), width)
             size, members = 0, []
     if members:
-        yield np.concatenate(members)
+        yield suffixes_of(length, np.concatenate(members), width)
 
 
-def alone(group: np.ndarray) -> np.ndarray:
-    """Segments that are the only distinct one of their group. group is sorted."""
-    differs = group[1:] != group[:-1]
-    return np.flatnonzero(np.append(True, differs) & np.append(differs, True)) if len(group) else np.zeros(0, np.int64)
+def sorted_suffixes(group: np.ndarray, length: np.ndarray, at: np.ndarray, flat: np.ndarray, members: np.ndarray, width: int):
+    """The suffixes of the segments in members that start a window, sorted as by enhanced()."""
+    return enhanced(group, length, at, flat, *suffixes_of(length, members, width))
 
 
-def sorted_suffixes(group: np.ndarray, length: np.ndarray, at: np.ndarray, flat: np.ndarray, members: np.ndarray, width: int):
-    """The suffixes of the segments in members that start a window, sorted by group and symbols: segment,
-    start, length of the prefix shared with the next one (0 across groups), and the symbol before (-1: unknown)."""
-    count = length[members] - width + 1
-    seg = np.repeat(members, count)
-    start = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+def enhanced(group: np.ndarray, length: np.ndarray, at: np.ndarray, flat: np.ndarray, seg: np.ndarray, start: np.ndarray):
+    """The suffixes sorted by group and symbols: segment, start, length of the prefix shared with the next
+    one (0 across groups), and the symbol before (-1: unknown)."""
     size = length[seg] - start
     longest = int(size.max())
     begin = at[seg] + start
@@ -59,8 +75,7 @@ def sorted_suffixes(group: np.ndarray, length: np.ndarray, at: np.ndarray, flat:
     rows = padded[begin[:, None] + np.arange(longest)[None, :]]
     rows[np.arange(longest)[None, :] >= size[:, None]] = 0
     place = np.unique(group[seg], return_inverse=True)[1].astype(">u4")
-    wide = rows if rows.dtype == np.uint8 else np.ascontiguousarray(rows.astype(">u4")).view(np.uint8).reshape(len(rows), -1)
-    key = np.ascontiguousarray(np.concatenate((place.view(np.uint8).reshape(-1, 4), wide), axis=1))
+    key = np.ascontiguousarray(np.concatenate((place.view(np.uint8).reshape(-1, 4), rows), axis=1))
     order = np.argsort(key.view(f"S{key.shape[1]}").ravel(), kind="stable")
     rows, size, place, seg, start = rows[order], size[order], place[order], seg[order], start[order]
     differ = rows[1:] != rows[:-1]
@@ -103,16 +118,14 @@ def intervals(shared: np.ndarray, before: np.ndarray, doc: np.ndarray, width: in
     return out
 
 
-def find_repeats(group: np.ndarray, length: np.ndarray, flat: np.ndarray, low: np.ndarray, width: int):
+def find_repeats(group: np.ndarray, length: np.ndarray, flat: np.ndarray, low: np.ndarray, width: int, most: int = SLAB):
     """Occurrences of maximal repeats: segment, start, length, smallest doc. group is sorted."""
     at = np.concatenate(([0], np.cumsum(length)))
-    only = alone(group)
-    out = [(only, np.zeros(len(only), np.int64), length[only], low[only])]
-    for members in slabs(group, length, width):
-        seg, start, shared, before = sorted_suffixes(group, length, at, flat, members, width)
+    # a segment's own copies repeat whatever else does
+    out = [(np.arange(len(group)), np.zeros(len(group), np.int64), length, low)]
+    for seg, start in slabs(group, length, at, flat, width, most):
+        seg, start, shared, before = enhanced(group, length, at, flat, seg, start)
         found = intervals(shared, before, low[seg], width)
-        # a segment's own copies repeat whatever else does
-        out.append((members, np.zeros(len(members), np.int64), length[members], low[members]))
         if found:
             first, last, depth, doc = (np.array(x, np.int64) for x in zip(*found, strict=True))
             size = last - first + 1
@@ -127,15 +140,16 @@ def as_bytes(text: str) -> np.ndarray:
 
 def _digest(ids, texts, parts, gone) -> pd.DataFrame:
     rows = []
-    for doc_id, part, spans in zip(ids, parts, gone, strict=True):
+    for part, spans in zip(parts, gone, strict=True):
         data, at, kept = part.tobytes(), 0, hashlib.sha256()
         for a, b in spans.tolist():
             kept.update(data[at:a])
             at = b
         kept.update(data[at:])
-        rows.append((doc_id, len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), kept.hexdigest()))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    return out.astype({"doc_id": "Int64", "kept_sha256": object})
+        rows.append((len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), kept.hexdigest()))
+    out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"kept_sha256": object})
+    out.insert(0, "doc_id", ids_of(ids))
+    return out
 
 
 def suffix_array_dedup(docs: DataFrame, text: str = "text", plan: Plan = PLAN, **how) -> DataFrame:
@@ -143,7 +157,8 @@ def suffix_array_dedup(docs: DataFrame, text: str = "text", plan: Plan = PLAN, *
 
     Null texts count as empty. Rows of one doc_id never take from each other; null doc_ids come after all
     others and never take from each other. An empty table gives no rows; extra columns are not read.
-    A text is handled whole by one task, in memory of about 100 bytes for each of its bytes.
+    Segments are compared by 64-bit hashes. A text is handled whole by one task, in memory of about 100
+    bytes for each of its bytes.
     """
     return removed_spans(docs, as_bytes, find_repeats, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", plan, text, **how)
 
@@ -151,12 +166,12 @@ def suffix_array_dedup(docs: DataFrame, text: str = "text", plan: Plan = PLAN, *
 def _texts(ids, texts, parts, gone) -> pd.DataFrame:
     """The kept text; bytes left of a cut character are dropped."""
     rows = []
-    for doc_id, part, spans in zip(ids, parts, gone, strict=True):
+    for part, spans in zip(parts, gone, strict=True):
         keep = np.ones(len(part), bool)
         for a, b in spans.tolist():
             keep[a:b] = False
-        rows.append((doc_id, part[keep].tobytes().decode("utf-8", "ignore")))
-    return pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64", "text": object})
+        rows.append(part[keep].tobytes().decode("utf-8", "ignore"))
+    return pd.DataFrame({"doc_id": ids_of(ids), "text": pd.Series(rows, dtype=object)})
 
 
 def kept_texts(docs: DataFrame, text: str = "text", plan: Plan = PLAN, **how) -> DataFrame:
