@@ -3,9 +3,15 @@
 Texts become tokens: lower-cased words without punctuation at their ends, where numbers, names
 (capitalised words inside a sentence) and units after a number are typed placeholders. Windows of five
 tokens are hashed, windows of documents that some benchmark window may equal are joined to the
-benchmark's by hash, and a document is contaminated by an item if it has `containment` of the item's
-windows and its placeholders are filled consistently: each value of the benchmark stands for one value
-of the document. So copies are found, and also questions with other numbers or names.
+benchmark's by hash, and a document is contaminated by an item if some alignment of the two has
+`containment` of the item's windows in their places and fills its placeholders consistently: each value
+of the benchmark stands for one value of the document. So copies are found, and also questions with other
+numbers or names. An alignment is a shift between places; windows up to SLACK tokens off it still count,
+so a word more or less does not break a copy, and of several matches of a window the nearest stands.
+
+A window of placeholders alone has no wording to go by, so it counts with its values as they are. An item
+of fewer than five tokens is one window of all its tokens, with their values, and matches only where a
+document has it as a whole sentence or line: such a short text within a sentence is no sign of a leak.
 
 Before the join, documents' windows pass a bitmap of fixed size (2 ** BITS bits) of the benchmark's
 hashes; a benchmark of any size leaves the join exact.
@@ -20,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import checkpointed, own_name, strings
 from .repeats import BYTE_VALUES, U64, Hashes, mixed
 
-WINDOW, CONTAINMENT, CONSISTENT, BITS = 5, 0.8, 0.8, 24
+WINDOW, CONTAINMENT, CONSISTENT, SLACK, BITS = 5, 0.8, 1.0, 2, 24
+#: Documents to drop are broadcast up to this many bytes of keys; beyond, they meet the documents by a shuffle.
+BROADCAST_BYTES = 8 << 20
 #: Words that name a unit when they follow a number.
 UNITS = "kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min mins s sec secs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents usd eur gbp degree degrees percent".split()
 _NUM, _CAP, _UNIT = range(3)
@@ -53,8 +61,8 @@ PLACE = np.array([_word_hash(f"<{k}>") for k in ("number", "name", "unit")], U64
 
 
 def tokens_of(texts: list[bytes]):
-    """Of all words of the texts: hash (placeholders by kind), slot kind (-1: none), text number, and the
-    first and last byte (exclusive) of its core in the texts joined by blanks, which come last.
+    """Of all words of the texts: hash, slot kind (-1: none), text number, the first and last byte (exclusive)
+    of its core in the texts joined by blanks, those, and whether it begins and ends a sentence or line.
 
     A word's core is what is left without punctuation at its ends; words without one are no tokens.
     Letters are folded in ASCII and Latin-1. A number has digits and .,:/ only. A name starts with a
@@ -93,37 +101,65 @@ def tokens_of(texts: list[bytes]):
     maybe = follows & (UNIT_HASHES[np.minimum(np.searchsorted(UNIT_HASHES, hashes), len(UNIT_HASHES) - 1)] == hashes)
     slot[maybe] = _UNIT
     slot[number] = _NUM
-    return np.where(slot >= 0, PLACE[slot], hashes), slot, text, start, end, small
+    line = count(data == 10, np.append(0, end[:-1]), start) > 0  # a line break since the word before
+    begins, stops = opens | line, ends | ~np.append(same, False) | np.append(line[1:], True)
+    return hashes, slot, text, start, end, small, begins, stops
+
 
+def _rolled(hashes: np.ndarray, n: int, width: int) -> np.ndarray:
+    value = np.full(n, width, U64)
+    for k in range(width):
+        value = value * U64(0x9E3779B97F4A7C15) + mixed(hashes[k : k + n])
+    return mixed(value)
 
-def windows(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of every window within one text."""
+
+def windows(hashes: np.ndarray, slot: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first token of every window within one text; placeholders by kind, unless a window has nothing else."""
     n = len(hashes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    value = np.zeros(n, U64)
-    for k in range(WINDOW):
-        value = value * U64(0x9E3779B97F4A7C15) + mixed(hashes[k : k + n])
+    value = _rolled(np.where(slot >= 0, PLACE[slot], hashes), n, WINDOW)
+    filled = np.cumsum(np.append(0, slot >= 0))
+    bare = filled[WINDOW:] - filled[:-WINDOW] == WINDOW
+    if bare.any():
+        value[bare] = _rolled(hashes, n, WINDOW)[bare]
     at = np.flatnonzero(text[:n] == text[WINDOW - 1 :])
-    return mixed(value)[at], at
+    return value[at], at
+
+
+def short_windows(hashes: np.ndarray, text: np.ndarray, begins: np.ndarray, stops: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for sentences and lines of `width` tokens, fewer than a window has."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    at = np.flatnonzero((text[:n] == text[width - 1 :]) & begins[:n] & stops[width - 1 :])
+    return _rolled(hashes, n, width)[at], at
 
 
-def template_windows(table: DataFrame, key: list[str], text: str, bitmap: bytes | None = None) -> DataFrame:
-    """key columns, h (window hash), at (its first token) and slots (kind and value of its placeholders) of every window,
-    or of those in the bitmap."""
+def template_windows(table: DataFrame, key: list[str], text: str, bitmap: bytes | None = None, short: tuple[int, ...] = ()) -> DataFrame:
+    """key columns, h (window hash), at (its first token), slots (kind and value of a template's placeholders) and width of every window,
+    or of those in the bitmap. Without a bitmap a text of fewer tokens is one window; with one, short has the widths of such."""
     kinds = dict(table.dtypes)
 
     def found(rows: pd.DataFrame, texts: list[bytes], bits) -> pd.DataFrame:
-        hashes, slot, doc, start, end, data = tokens_of(texts)
-        value, at = windows(hashes, doc)
+        hashes, slot, doc, start, end, data, begins, stops = tokens_of(texts)
+        value, at = windows(hashes, slot, doc)
+        width = np.full(len(at), WINDOW)
+        count = np.bincount(doc, minlength=len(texts))
+        for n in short if bits is not None else range(1, WINDOW):
+            v, a = short_windows(hashes, doc, begins, stops, n)
+            if bits is None:  # all tokens of the text, whatever marks it has
+                a = np.searchsorted(doc, np.flatnonzero(count == n))
+                v = _rolled(hashes, len(hashes) - n + 1, n)[a] if len(a) else v[:0]
+            value, at, width = np.append(value, v), np.append(at, a), np.append(width, np.full(len(a), n))
         if bits is not None:
             low = (value & U64((1 << BITS) - 1)).astype(np.int64)
             hit = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
-            value, at = value[hit], at[hit]
+            value, at, width = value[hit], at[hit], width[hit]
         first = np.searchsorted(doc, np.arange(len(rows)))
         word = lambda i: data[start[i] : end[i]].tobytes().decode("utf-8", "replace")
-        slots = ["\t".join(_SLOTS[slot[i]] + word(i) for i in range(a, a + WINDOW) if slot[i] >= 0) for a in at.tolist()]
-        return rows[key].iloc[doc[at]].reset_index(drop=True).assign(h=value.view(np.int64), at=at - first[doc[at]], slots=strings(slots))
+        slots = ["\t".join(_SLOTS[slot[i]] + word(i) for i in range(a, a + n) if slot[i] >= 0 and n == WINDOW) for a, n in zip(at.tolist(), width.tolist(), strict=True)]
+        return rows[key].iloc[doc[at]].reset_index(drop=True).assign(h=value.view(np.int64), at=at - first[doc[at]], slots=strings(slots), width=width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
@@ -137,8 +173,10 @@ def template_windows(table: DataFrame, key: list[str], text: str, bitmap: bytes
                 size += len(t)
             yield found(batch.iloc[begin:], texts[begin:], bits)
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", h long, at long, slots string"
-    return table.select(*key, F.col(text).alias("text_")).mapInPandas(run, schema)
+    # keys travel as strings: one null among longs would turn a batch of them into floats
+    schema = ", ".join(f"`{k}` string" for k in key) + ", h long, at long, slots string, width long"
+    out = table.select(*(F.col(k).cast("string").alias(k) for k in key), F.col(text).alias("text_")).mapInPandas(run, schema)
+    return out.withColumns({k: F.col(k).cast(kinds[k]) for k in key})
 
 
 def bitmap_of(hashes: DataFrame) -> bytes:
@@ -155,28 +193,42 @@ def bitmap_of(hashes: DataFrame) -> bytes:
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", containment: float = CONTAINMENT, consistent: float = CONSISTENT) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, containment, consistency, row (the hash of doc_id and text).
 
-    Items of fewer than five tokens are not looked for; null texts match nothing; equal rows of docs are
-    one document; null ids are kept as null. Empty tables give no rows; extra columns are not read.
+    Of a document's alignments with an item that hold, the one of most consistency, then containment, is
+    given. Texts without tokens match nothing, null ones included; equal rows of docs are one document;
+    null ids are kept as null. Empty tables give no rows; extra columns are not read. A document is
+    tokenised whole by one task.
     """
-    items = template_windows(benchmark.select("item_id", F.col("text").alias("t"), F.xxhash64("item_id", "text").alias("item")), ["item_id", "item"], "t")
+    items = template_windows(benchmark.select("item_id", F.col("text").alias("t"), F.xxhash64("item_id", "text").alias("item")).distinct(), ["item_id", "item"], "t")
     bitmap = bitmap_of(items)
+    short = tuple(r["width"] for r in items.select("width").distinct().filter(F.col("width") < WINDOW).collect())  # four at most
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), F.col(text).alias("t"))
-    found = template_windows(rows, ["doc_id", "row"], "t", bitmap).select("doc_id", "row", "h", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    size = items.groupBy("item").agg(F.countDistinct("h").alias("n"))
-    met = found.join(items, "h")
-    key = ["doc_id", "row", "item_id", "item"]
-    share = met.groupBy(*key).agg(F.countDistinct("h").alias("have"))
-    share = share.join(size, "item").withColumn("containment", F.col("have") / F.col("n")).filter(F.col("containment") >= containment)
-    pairs = met.filter("slots <> ''").select(*key, (F.col("doc_at") - F.col("at")).alias("shift"), F.explode(F.arrays_zip(F.split("slots", "\t").alias("a"), F.split("doc_slots", "\t").alias("b"))).alias("s"))
-    one = pairs.groupBy(*key, "shift", "s.a").agg((F.min("s.b") == F.max("s.b")).alias("one"))
-    agree = one.groupBy(*key, "a").agg(F.max("one").alias("one")).groupBy(*key).agg(F.avg(F.col("one").cast("double")).alias("consistency"))
-    on = [share[k].eqNullSafe(agree[k]) for k in key]
-    both = share.join(agree, on, "left").select(*(share[k] for k in key), "containment", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
-    good = both.filter(F.col("consistency") >= consistent)
-    return good.select("doc_id", "item_id", F.round("containment", 6).alias("containment"), F.round("consistency", 6).alias("consistency"), "row")
+    found = template_windows(rows, ["doc_id", "row"], "t", bitmap, short).select("doc_id", "row", "h", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    size = items.groupBy("item").agg(F.countDistinct("at").alias("n"))
+    # texts are tokenised once; what met the benchmark is little
+    met = checkpointed(found.join(items, "h").select("doc_id", "row", "item_id", "item", "at", (F.col("doc_at") - F.col("at")).alias("shift"), "slots", "doc_slots"))
+    key = ["row", "item"]
+    likely = met.groupBy(*key).agg(F.countDistinct("at").alias("have")).join(size, "item").filter(F.col("have") >= containment * F.col("n")).select(*key, "n")
+    # every shift is tried as an alignment, with the matches near it
+    near = F.transform(F.sequence(F.lit(-SLACK), F.lit(SLACK)), lambda k: F.col("shift") + k)
+    tried = met.join(likely, key)
+    shifts = tried.select(*key, F.col("shift").alias("aligned")).distinct()
+    tried = tried.withColumn("aligned", F.explode(near)).join(shifts, [*key, "aligned"])
+    off = F.struct(F.abs(F.col("shift") - F.col("aligned")).alias("off"), F.col("shift").alias("shift"), F.col("slots").alias("a"), F.col("doc_slots").alias("b"))
+    placed = tried.groupBy(*key, "aligned", "at", "n").agg(F.min(off).alias("m"), F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"))
+    held = placed.groupBy(*key, "aligned", "n").agg(F.count(F.lit(1)).alias("have"), F.collect_set(F.when(F.col("m.a") != "", F.struct("m.a", "m.b"))).alias("filled"), F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"))
+    held = held.withColumn("containment", F.col("have") / F.col("n")).filter(F.col("containment") >= containment)
+    # slots of equal windows are equal in number and kind
+    pairs = F.array_distinct(F.flatten(F.transform("filled", lambda x: F.zip_with(F.split(x["a"], "\t"), F.split(x["b"], "\t"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))))
+    values = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
+    once = F.size(F.filter(values, lambda v: F.size(F.filter("pairs", lambda p: p["a"] == v)) == 1))
+    held = held.withColumn("pairs", pairs).withColumn("consistency", F.when(F.size(values) > 0, once / F.size(values)).otherwise(1.0))
+    best = held.filter(F.col("consistency") >= consistent).groupBy(*key).agg(F.max(F.struct("consistency", "containment")).alias("best"), F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"))
+    return best.select("doc_id", "item_id", F.round("best.containment", 6).alias("containment"), F.round("best.consistency", 6).alias("consistency"), "row")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The rows of docs without those that contaminated() finds."""
-    bad = contaminated(docs, benchmark, text, **how).select("row").distinct()
-    return docs.join(bad, F.xxhash64("doc_id", text) == bad["row"], "left_anti")
+    """The rows of docs without those that contaminated() finds. Texts are shuffled only if the keys of those exceed BROADCAST_BYTES."""
+    name = own_name(docs, "bad_row")
+    bad = checkpointed(contaminated(docs, benchmark, text, **how).select(F.col("row").alias(name)).distinct())
+    small = bad.count() * 8 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(bad) if small else bad, F.xxhash64("doc_id", text) == bad[name], "left_anti")
