@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import let
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 32
+BROADCAST_SHINGLES = 100_000
 #: Notice lines of public licenses.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -68,24 +69,23 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, text: str
     length, so each template lies whole in a window. Rows with the same doc_id are scanned as one
     document each and reported once per license with their best figures; null texts and texts shorter
     than a shingle match only an equally short template; null doc_ids are reported as null. An empty
-    table gives no rows; extra columns are ignored. Templates are broadcast: at most 100,000 shingles
-    are accepted, which is checked.
+    table gives no rows; extra columns are ignored; templates without words are never found. Templates
+    of up to BROADCAST_SHINGLES shingles are broadcast, which is checked; more of them meet the texts by shuffles.
     """
     spark = docs.sparkSession
     templates = standard_templates(spark) if templates is None else templates
     known = templates.select("license", F.array_distinct(_shingles(F.col("text"))).alias("want")).filter(F.size("want") > 0)
     held = known.agg(F.sum(F.size("want")).alias("n"), F.max(F.size("want")).alias("longest")).first()
-    if not held["n"] or held["n"] > 100_000:
-        raise ValueError(f"templates have {held['n']} shingles; between 1 and 100000 are accepted")
-    step = int(held["longest"])
+    step = int(held["longest"] or 1)
+    sent = F.broadcast if (held["n"] or 0) <= BROADCAST_SHINGLES else lambda df: df
     vocabulary = known.select(F.explode("want").alias("h")).distinct()
     rows = docs.select("doc_id", F.xxhash64(F.col(text)).alias("row"), F.posexplode(_shingles(F.col(text))).alias("at", "h"))
-    hits = rows.join(F.broadcast(vocabulary), "h", "left_semi")
+    hits = rows.join(sent(vocabulary), "h", "left_semi")
     spread = hits.withColumn("win", F.explode(F.array(F.floor(F.col("at") / step), F.floor(F.col("at") / step) - 1)))
     windows = spread.groupBy("doc_id", "row", "win").agg(F.collect_set("h").alias("have"), F.min("at").alias("at"))
     found = windows.select("doc_id", "row", "win", "at", "have", F.explode(_keys(_bands(F.col("have"), bands), F.col("have"))).alias("b")).select("doc_id", "row", "win", "at", "have", "b.*")
     index = known.select("license", "want", F.explode(_keys(_bands(F.col("want"), bands), _sketch(F.col("want"), containment))).alias("b")).select("license", "want", "b.*")
-    pairs = found.join(F.broadcast(index), ["band", "low"]).dropDuplicates(["doc_id", "row", "win", "license"])
+    pairs = found.join(sent(index), ["band", "low"]).dropDuplicates(["doc_id", "row", "win", "license"])
     share = F.size(F.array_intersect("have", "want")) / F.size("want")
     good = pairs.withColumn("containment", share).filter(F.col("containment") >= containment)
     return good.groupBy("doc_id", "license").agg(F.round(F.max("containment"), 6).alias("containment"), F.count(F.lit(1)).alias("n_windows"), F.min("at").cast("long").alias("first_shingle"))
