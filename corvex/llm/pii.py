@@ -1,11 +1,13 @@
 """Personal data: base expressions, then bootstrapped contextual extraction; DataFrame functions only.
 
-Base entities (emails, addresses, cards, phones) are the seeds, whatever blanks they have. A lexical pattern
-is the two words before an entity's start, where words with a digit or an @ are alike, and so is what lies
-before the text. Every base entity, and every other word with a digit or an @ and four characters, is an
-instance; patterns and instances form a graph, and each round scores a pattern by the mean score of its distinct instances and an instance by 1 - product(1 - score)
-of its accepted patterns, seeds staying at 1. Instances that end at `accept` or more, and that no base
-entity covers, are new spans of the kind `context`.
+Base entities (emails, addresses, cards, phones) are the seeds, whatever blanks they have. Lexical patterns
+are the words around an entity: the two before it, the two after it, or one on either side. Words with a
+digit or an @ are alike in a pattern, and so is what lies before the text; patterns of words after an entity
+hold no such words, which by themselves tell too little. Every base entity, and every other word with a
+digit or an @, is an instance; patterns and instances form a graph, and each round scores a pattern by the
+mean score of its distinct instances and an instance by 1 - product(1 - score) of its accepted patterns,
+seeds staying at 1. Scores only grow, and rounds go on until none moves by a thousandth. Instances that end
+at `accept` or more in an accepted pattern, and that no base entity covers, are new spans of the kind `context`.
 
 Expressions are written so that Java's matcher neither recurses nor rescans a run: separators between
 digits (and dots between labels) are first replaced by one private character, in a copy that keeps all
@@ -21,7 +23,9 @@ from .common import checkpointed, let, own_name
 
 KINDS = ("email", "ip", "card", "phone", "context")
 MARK, OTHER = "\ue000", "\ue001"
-PATTERN_SCORE, ACCEPT, SUPPORT, ROUNDS = 0.8, 0.8, 3, 2
+PATTERN_SCORE, ACCEPT, SUPPORT = 0.8, 0.8, 3
+#: Matches whose places are summed up in one go: arrays grow by copying, so long ones are made of such blocks.
+BLOCK = 256
 _LOCAL = f"A-Za-z0-9._%+{MARK}-"
 EXPRESSIONS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++{MARK}[A-Za-z0-9{MARK}-]++",
@@ -62,17 +66,32 @@ VALID = {
 _SPANS = "array<struct<a:int,b:int>>"
 
 
-def _places(text: Column, pattern: str, item, kind: str) -> Column:
-    """item(gap before, match, start) of every match, nulls dropped; places are code points."""
-    none = F.array().cast(f"array<{kind}>")
-    zipped = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+def _matches(text: Column, pattern: str) -> Column:
+    """g (the gap before) and h of every match in order, and last the rest of the text, with a null h."""
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["g"])
-        made = item(x["g"], x["h"], at).cast(kind)
-        return F.struct((at + F.coalesce(F.length(x["h"]), F.lit(0))).alias("at"), F.when(x["h"].isNull() | made.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(made))).alias("out"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+def _placed(matches: Column) -> Column:
+    """h and at (its place in code points) of every match, in time linear in their number but for a small part."""
+    size = lambda x: F.length(x["g"]) + F.coalesce(F.length(x["h"]), F.lit(0))
+    none = F.array().cast("array<int>")
+
+    def running(values: Column, first: Column) -> Column:
+        """Sums of what comes before each value."""
+        step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(values, F.struct(first.alias("at"), none.alias("out")), step)["out"]
+
+    def placed(m: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.transform(F.slice(m, i + 1, BLOCK), size))
+
+        def starts(b: Column) -> Column:
+            before = running(F.transform(b, lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + x)), F.lit(0))
+            return F.flatten(F.zip_with(b, before, running))
+
+        at = lambda s: F.zip_with(m, s, lambda x, a: F.struct(x["h"].alias("h"), (a + F.length(x["g"])).alias("at")))
+        return F.filter(let(let(blocks, starts), at), lambda x: x["h"].isNotNull())
+
+    return let(matches, placed)
 
 
 def _spans(kind: str, text: Column) -> Column:
@@ -86,48 +105,80 @@ def _spans(kind: str, text: Column) -> Column:
         copy, guard = text, text.rlike(r"[0-9]\.[0-9]")
     else:
         copy, guard = text, F.contains(text, F.lit("+"))
-    item = lambda g, h, at: F.when(VALID[kind](h), F.struct(at.alias("a"), (at + F.length(h)).alias("b")))
+    found = lambda c: F.transform(F.filter(_placed(_matches(c, EXPRESSIONS[kind])), lambda x: VALID[kind](x["h"])), lambda x: F.struct(x["at"].alias("a"), (x["at"] + F.length(x["h"])).alias("b")))
     # a guard that holds for few texts spares the others the copy and the matcher
-    return F.when(guard, let(copy, lambda c: _places(c, EXPRESSIONS[kind], item, "struct<a:int,b:int>"))).otherwise(F.array().cast(_SPANS))
+    return F.when(guard, let(copy, found)).otherwise(F.array().cast(_SPANS))
+
 
+#: Stands for a word with a digit or an @ in a pattern, for the text's start, and for its end.
+LIKE_ENTITY, START, END = "#", "^", "$"
 
-def _context(words: Column) -> Column:
-    """Two words as a pattern: lower case without punctuation, # for one with a digit or an @, ^ before the text's start."""
-    one = lambda w: F.when(w == "", "^").when(w.rlike("[0-9@]"), "#").otherwise(F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", " "))
-    return F.regexp_replace(F.array_join(F.transform(words, one), " "), " +", " ")
+
+def _shown(word: Column, outside: Column) -> Column:
+    """A word as part of a pattern: lower case without punctuation, LIKE_ENTITY for one with a digit or an @, `outside` for none."""
+    return F.when(word == "", outside).when(word.rlike("[0-9@]"), LIKE_ENTITY).otherwise(F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]+", " "))
 
 
 def _marked(text: Column) -> Column:
-    """Words with a digit or an @: place, the word and the two words before it ('' before the text's start)."""
-    kind = "array<struct<at:int,hit:string,before:array<string>>>"
-    zipped = F.zip_with(F.split(text, MARKED, -1), F.regexp_extract_all(text, F.lit(MARKED), F.lit(0)), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    none = F.array().cast(kind)
+    """Words with a digit or an @: place, the word, the two words before it and the two after it ('' beyond the text)."""
+    none = F.array().cast("array<struct<at:int,hit:string,before:array<string>,after:array<string>>>")
+    pad = F.array(F.lit(""), F.lit(""))
+    ends = lambda w: F.struct(F.slice(w, 1, 2).alias("first"), F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2).alias("last"))
+
+    def around(m: Column) -> Column:
+        gaps = F.transform(m, lambda x: let(F.filter(F.split(x["g"], BLANKS), lambda w: w != ""), ends))
+
+        def joined(g: Column) -> Column:
+            hit = lambda k: F.coalesce(F.array_compact(F.array(F.get(m, k)["h"])), F.array().cast("array<string>"))
+            gap = lambda k, end: F.coalesce(F.get(g, k)[end], F.array().cast("array<string>"))
+            before = lambda k: F.slice(F.concat(pad, hit(k - 2), gap(k - 1, "last"), hit(k - 1), gap(k, "last")), -2, 2)
+            after = lambda k: F.slice(F.concat(gap(k + 1, "first"), hit(k + 1), gap(k + 2, "first"), hit(k + 2), pad), 1, 2)
+            return F.transform(_placed(m), lambda x, k: F.struct(x["at"].alias("at"), x["h"].alias("hit"), before(k).alias("before"), after(k).alias("after")))
+
+        return let(gaps, joined)
+
+    return F.when(text.rlike("[0-9@]"), let(_matches(text, MARKED), around)).otherwise(none)
 
-    def step(acc: Column, x: Column) -> Column:
-        words = F.filter(F.split(x["g"], BLANKS), lambda w: w != "")
-        put = lambda before: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["h"]), F.lit(0))).alias("at"),
-            F.array(before[1], F.coalesce(x["h"], F.lit(""))).alias("last"),
-            F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("at"), x["h"].alias("hit"), before.alias("before"))))).alias("out"),
-        )
-        return let(F.slice(F.concat(acc["last"], words), -2, 2), put)
 
-    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(""), F.lit("")).alias("last"), none.alias("out"))
-    return F.when(text.rlike("[0-9@]"), F.aggregate(zipped, start, step)["out"]).otherwise(none)
+_INSTANCE = "array<struct<a:int,b:int,word:string,contexts:array<string>,seed:boolean>>"
 
 
 def _instances(seen: Column, spans: Column) -> Column:
-    """What a marked word gives, as a, b, word, context, seed: each base span that starts in it is a seed; a word that no span covers is itself one, if its core has 4 characters."""
-    end = seen["at"] + F.length(seen["hit"])
-    head = lambda x: F.substring(seen["hit"], F.lit(1), x["a"] - seen["at"])
-    before = lambda x: F.when(head(x).rlike(r"[\p{L}\p{N}]"), F.array(seen["before"][1], head(x))).otherwise(seen["before"])
-    item = lambda a, b, word, words, seed: F.struct(a.alias("a"), b.alias("b"), word.alias("word"), _context(words).alias("context"), F.lit(seed).alias("seed"))
-    seeds = F.transform(F.filter(spans, lambda x: (x["a"] >= seen["at"]) & (x["a"] < end)), lambda x: item(x["a"], x["b"], x["word"], before(x), True))
-    core = F.regexp_replace(seen["hit"], "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
-    first = seen["at"] + F.length(F.regexp_extract(seen["hit"], "^[^A-Za-z0-9]+", 0))
-    covered = F.exists(spans, lambda x: (x["a"] < first + F.length(core)) & (first < x["b"]))
-    own = F.when(~covered & (F.length(core) >= 4), F.array(item(first, first + F.length(core), core, seen["before"], False))).otherwise(F.array().cast("array<struct<a:int,b:int,word:string,context:string,seed:boolean>>"))
-    return F.concat(seeds, own)
+    """What the marked words of a text give, as a, b, word, contexts, seed: each base span that starts in one is a seed; a word that no span covers is itself one."""
+    lettered = r"[\p{L}\p{N}]"
+
+    def contexts(words: Column) -> Column:
+        """Patterns of the two words before and the two after, in the form of _shown."""
+        real = lambda *at: F.forall(F.array(*(words[k] for k in at)), lambda x: x.rlike(r"\p{L}"))
+        put = lambda kind, *at: F.concat_ws(" ", F.lit(kind), *(F.trim(words[k]) for k in at))
+        return F.array_compact(F.array(put("b", 0, 1), F.when(real(1, 2), put("m", 1, 2)), F.when(real(2, 3), put("a", 2, 3))))
+
+    def item(a: Column, b: Column, word: Column, words: Column, seed: bool) -> Column:
+        shown = F.transform(words, lambda w, k: _shown(w, F.when(k < 2, START).otherwise(END)))
+        return F.struct(a.alias("a"), b.alias("b"), word.alias("word"), let(shown, contexts).alias("contexts"), F.lit(seed).alias("seed"))
+
+    def of_word(s: Column) -> Column:
+        end = s["at"] + F.length(s["hit"])
+        head = lambda x: F.substring(s["hit"], F.lit(1), x["a"] - s["at"])
+        before = lambda h: F.when(h.rlike(lettered), F.array(s["before"][1], h)).otherwise(s["before"])
+
+        def after(x: Column, last: Column) -> Column:
+            follows = lambda tail: F.when(tail.rlike(lettered), F.array(tail, last["after"][0])).otherwise(last["after"])
+            return let(F.substring(last["hit"], x["b"] - last["at"] + 1, F.length(last["hit"])), follows)
+
+        def seed(x: Column) -> Column:
+            # the marked word in which the span ends
+            last = F.element_at(F.filter(seen, lambda w: (w["at"] < x["b"]) & (w["at"] >= s["at"])), -1)
+            return item(x["a"], x["b"], x["word"], F.concat(let(head(x), before), let(last, lambda w: after(x, w))), True)
+
+        seeds = F.transform(F.filter(spans, lambda x: (x["a"] >= s["at"]) & (x["a"] < end)), seed)
+        core = F.regexp_replace(s["hit"], "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+        first = s["at"] + F.length(F.regexp_extract(s["hit"], "^[^A-Za-z0-9]+", 0))
+        covered = F.exists(spans, lambda x: (x["a"] < first + F.length(core)) & (first < x["b"]))
+        own = F.when(~covered & core.rlike("[0-9@]"), F.array(item(first, first + F.length(core), core, F.concat(s["before"], s["after"]), False))).otherwise(F.array().cast(_INSTANCE))
+        return F.concat(seeds, own)
+
+    return F.flatten(F.transform(seen, of_word))
 
 
 def base_spans(text: Column) -> Column:
@@ -149,19 +200,31 @@ def found_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     return checkpointed(rows.select("doc_id", "row", "base", "seen", held.alias("held")))
 
 
-def discovered(rows: DataFrame, accept: float = ACCEPT, pattern_score: float = PATTERN_SCORE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """row and context spans (an array) of rows in which accepted patterns find unseen identifiers."""
-    seen = rows.dropDuplicates(["row"]).filter(F.size("seen") > 0).select("row", F.explode("seen").alias("s"), "held")
-    graph = checkpointed(seen.select("row", F.explode(_instances(F.col("s"), F.col("held"))).alias("i")).select("row", "i.*"))
-    edges = graph.groupBy("context", "word").agg(F.max(F.col("seed").cast("double")).alias("seed"))
+def scored(edges: DataFrame, pattern_score: float = PATTERN_SCORE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """Scores of words (word, score) and accepted patterns (context, p, n) of a graph (context, word, seed: 1 or 0), when no pattern's score moves any more."""
     words = edges.groupBy("word").agg(F.max("seed").alias("score"))
-    for _ in range(rounds):
-        scored = edges.join(words, "word")
-        patterns = scored.groupBy("context").agg(F.avg("score").alias("p"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= support) & (F.col("p") >= pattern_score))
+    last = None
+    while True:
+        patterns = edges.join(words, "word").groupBy("context").agg(F.avg("score").alias("p"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= support) & (F.col("p") >= pattern_score))
+        patterns = checkpointed(patterns)  # which cuts the lineage of the words below as well
         # 1 - product(1 - p), held off 0 for the logarithm
         reach = edges.join(patterns, "context", "left").groupBy("word").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(1 - F.coalesce("p", F.lit(0.0)), F.lit(1e-9)))).alias("l"))
         words = reach.select("word", F.greatest("seed", 1 - F.exp("l")).alias("score"))
-    new = graph.filter("not seed").join(words.filter(F.col("score") >= accept), "word").join(patterns.select("context"), "context", "left_semi")
+        # scores only grow, so equal sums are equal scores
+        now = patterns.agg(F.count(F.lit(1)), F.sum(F.round("p", 3).cast("decimal(20,3)"))).first()
+        if now == last or not now[0]:
+            return words, patterns
+        last = now
+
+
+def discovered(rows: DataFrame, accept: float = ACCEPT, pattern_score: float = PATTERN_SCORE, support: int = SUPPORT) -> DataFrame:
+    """row and context spans (an array) of rows in which accepted patterns find unseen identifiers."""
+    seen = rows.dropDuplicates(["row"]).filter(F.size("seen") > 0).select("row", F.explode(_instances(F.col("seen"), F.col("held"))).alias("i"))
+    graph = checkpointed(seen.select("row", "i.*"))
+    edges = checkpointed(graph.select(F.explode("contexts").alias("context"), "word", F.col("seed").cast("double").alias("seed")).groupBy("context", "word").agg(F.max("seed").alias("seed")))
+    words, patterns = scored(edges, pattern_score, support)
+    new = graph.filter("not seed").select("row", "a", "b", "word", F.explode("contexts").alias("context"))
+    new = new.join(patterns.select("context"), "context", "left_semi").join(words.filter(F.col("score") >= accept), "word")
     return new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("context"))
 
 
