@@ -4,6 +4,12 @@ Every stage but the last returns the columns of documents, and its decisions tak
 fail the quality rules or come from rejected hosts go, one document of each near-duplicate group stays,
 documents that hold benchmark items go, personal data is replaced by its kind, and the last stage says
 how many words of each document the mix takes.
+
+Null texts have no words and fail the quality rules. Null sources are one host, and one source of the mix,
+last in order. Null doc_ids stay null: near-dedup keeps such a row only where its group has no id, and one
+row of each text. Rows that repeat a doc_id are one document to near-dedup, which keeps one of them. An
+empty table passes through all stages and gives no rows. Extra columns, whatever their names, are carried
+along to the last stage, which has columns of its own.
 """
 
 from __future__ import annotations
@@ -42,12 +48,21 @@ STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup), ("benc
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what lies between them is written to the folder of spark.checkpoint.dir, or the warehouse where none is set."""
+    """All stages; what lies between them is written to the folder of spark.checkpoint.dir, or the warehouse where none is set.
+
+    A stage's rows are deleted once the next one's are written; the last one's stay for whoever reads the result."""
     docs = table(spark, sf_dir, "documents")
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            _delete(spark, f"{folder}/{number - 1}")
     return docs
