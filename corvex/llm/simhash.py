@@ -52,14 +52,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) for every row."""
+    """doc_id, fp (the 64 bits as a signed long) and key (a hash of the text) for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": strings(batch["doc_id"]), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": strings(batch["doc_id"]), "fp": fps.view(np.int64), "key": batch["key"]})
 
-    return by_python(docs, run, "fp long", text)
+    rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    return by_python(rows, run, "fp long, key long", more=("key",))
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
@@ -199,11 +200,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, bl
     columns are not read. The links between distinct fingerprints are a forest, not all pairs.
     """
     prints = checkpointed(fingerprints(docs, text))
-    return grouped(prints, radius, blocks, shard_rows)
+    return grouped(prints.drop("key"), radius, blocks, shard_rows)
 
 
 def grouped(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """simhash_groups for rows (doc_id, fp) that have their fingerprints already."""
+    """simhash_groups for rows (doc_id, fp) that have their fingerprints already; more columns are kept."""
     # Fingerprints are nodes named by themselves while linking, and components get their smallest doc_id at the end.
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(near_links(nodes.select("fp", F.col("fp").alias("node")), radius, blocks, shard_rows))
@@ -211,17 +212,18 @@ def grouped(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None,
     smallest = named.groupBy("c").agg(F.min("first").alias("component_id"))
     labels = named.join(smallest, "c").select("fp", "component_id")
     out = prints.join(labels, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(c for c in prints.columns if c not in ("doc_id", "fp")))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The rows of docs with the smallest doc_id of their group, one row each; rows with a null doc_id stay only if their group has no other, one row per text."""
-    groups = simhash_groups(docs, text, **how)
-    name = own_name(docs, "kept_id")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    keep = checkpointed(groups.groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias("n"), F.bool_or(first).alias("first")).filter("first"))
-    rows = docs.join(keep.select(name), docs["doc_id"].eqNullSafe(keep[name]), "left_semi")
-    if keep.filter("n > 1").isEmpty():  # seen from the fingerprints, without another pass over texts
+    groups = grouped(checkpointed(fingerprints(docs, text)), **how)
+    name, key = own_name(docs, "kept_id"), own_name(docs, "kept_key")
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(name), F.col("key").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    keep = checkpointed(keep)
+    rows = docs.join(keep.select(name, key), docs["doc_id"].eqNullSafe(keep[name]) & (F.xxhash64(docs[text]) == keep[key]), "left_semi")
+    # seen from the fingerprints, without another pass over texts; ids with two texts to keep count as well
+    if keep.groupBy(name, F.when(F.col(name).isNull(), F.col(key))).agg(F.sum("n").alias("n")).filter("n > 1").isEmpty():
         return rows
     null_id = F.when(F.col("doc_id").isNull(), F.xxhash64(text))
     order = Window.partitionBy("doc_id", null_id).orderBy(F.xxhash64(text))
