@@ -1,5 +1,9 @@
 """Every stage of the pipeline on nulls, repeated rows, clashing names and empty tables; what run() leaves behind."""
 
+import shutil
+from pathlib import Path
+from urllib.parse import urlparse
+
 import corpus_pipeline
 from corvex.llm import mixing
 
@@ -27,15 +31,11 @@ def test_stages_on_odd_rows(spark):
     assert {"taken", "target"} <= set(docs.columns)
 
 
-def test_run_leaves_its_result_only(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        out = corpus_pipeline.run(spark, SF)
-        assert out.columns == mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).columns
-        rows = [r.asDict() for r in out.collect()]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
-    (folder,) = tmp_path.glob("pipeline-*")
-    assert [p.name for p in folder.iterdir()] == ["4"]
+def test_run_leaves_its_result_only(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).columns
+    rows = [r.asDict() for r in out.collect()]
     assert rows and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    (folder,) = {Path(urlparse(f).path).parents[1] for f in out.inputFiles()}
+    assert [p.name for p in folder.iterdir()] == ["4"]
+    shutil.rmtree(folder)
