@@ -105,6 +105,7 @@ CANDIDATES, QUICK_CANDIDATES, BODY_CANDIDATES = 160, 48, 96
 QUICK_SHARDS, BODY_SHARDS, BATCH = 8, 18, 4
 PHASE_BUDGETS = ((5 << 20, 6), (10 << 20, 12))
 MAX_LOCAL_REFS = 48
+REF_UTILITY = {"routed": 4.0, "source": 2.0, "facet": 1.5, "first_year": 2015, "years": 10, "oldest": 0.2, "newest": 1.2}
 
 # Headers of exam tables, the first that exists wins.
 EXAM_HEADERS = {

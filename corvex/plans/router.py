@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass, field
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import detect_intent
-from ..functions.constants import CLASS_LOOKUP, EXAM_HELPER, MAX_LOCAL_REFS, PHASE_BUDGETS, QUERY_ALIASES
+from ..functions.constants import CLASS_LOOKUP, EXAM_HELPER, MAX_LOCAL_REFS, PHASE_BUDGETS, QUERY_ALIASES, REF_UTILITY
 from ..functions.dates import date_floor
 from ..functions.text import normalize_py, normalize_text
 
@@ -167,24 +166,48 @@ def build_plan(query: str, filters: Filters | None = None, aliases: dict[str, li
     return QueryPlan(query, expand_query(query, aliases), query_terms(query, aliases), intent, list(sources), mode, filters or Filters(), route)
 
 
-def utility(ref: dict, plan: QueryPlan, routed: dict[str, int], now_year: int) -> float:
-    """What an index promises for each KB it costs; routed gives the rank of an index in the directory's answers."""
-    by_route = 4.0 / (1 + routed[ref["index_id"]]) if ref["index_id"] in routed else 0.5
-    by_source = 1.6 if ref["source_id"] in plan.sources else 0.6
-    by_year = 0.8 if ref["year"] == "undated" else max(0.4, 1.5 - 0.12 * max(0, now_year - int(ref["year"])))
-    return by_route * by_source * by_year * math.log2(ref["doc_count"] + 2) / max(1.0, ref["bytes"] / 1024)
-
-
-def select_refs(refs: list[dict], plan: QueryPlan, routed: dict[str, int], now_year: int) -> list[dict]:
-    """At most MAX_LOCAL_REFS indexes by utility; ties by documents, then id."""
-    return sorted(refs, key=lambda r: (-utility(r, plan, routed, now_year), -r["doc_count"], r["index_id"]))[:MAX_LOCAL_REFS]
+def with_utility(indexes: DataFrame, plan: QueryPlan, routes: DataFrame | None = None) -> DataFrame:
+    """Local indexes with turn (place in the directory's answers, null for none) and utility: what an index promises for each KB it costs.
+
+    routes is the directory (route_summary): of the plan's terms, listed indexes count four times, listed or
+    authoritative sources twice, listed facets one and a half times; then come year and documents.
+    """
+    out = indexes
+    if routes is None:
+        out = out.withColumns({"turn": F.lit(None).cast("int"), "by_source": F.lit(False), "by_facet": F.lit(False)})
+    else:
+        hits = routes.filter(F.col("term").isin(plan.terms))
+        order = F.element_at(F.create_map(*(F.lit(x) for n, t in enumerate(plan.terms) for x in (t, n))), F.col("term"))
+        listed = hits.select(order.alias("o"), F.posexplode("likely_local_index").alias("p", "index_id")).groupBy("index_id").agg(F.min(F.struct("o", "p")).alias("at"))
+        listed = listed.select("index_id", F.row_number().over(Window.orderBy("at", "index_id")).alias("turn"))  # 24 a term at most
+        named = lambda c, key, flag: hits.select(F.explode(c).alias(key)).distinct().withColumn(flag, F.lit(True))
+        out = out.join(listed, "index_id", "left").join(named("likely_source", "source_id", "by_source"), "source_id", "left").join(named("likely_facet", "facet", "by_facet"), "facet", "left")
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    w = REF_UTILITY
+    routed = F.when(F.col("turn").isNotNull(), w["routed"]).otherwise(1.0)
+    source = F.when(true("by_source") | F.col("source_id").isin(plan.sources), w["source"]).otherwise(1.0)
+    facet = F.when(true("by_facet"), w["facet"]).otherwise(1.0)
+    fresh = F.coalesce((F.col("year").try_cast("int") - w["first_year"]) / w["years"], F.lit(w["oldest"]))
+    fresh = F.greatest(F.lit(w["oldest"]), F.least(F.lit(w["newest"]), fresh))
+    cost = F.greatest(F.lit(1.0), F.col("bytes") / 1024)
+    return out.withColumn("utility", F.round(routed * source * facet * fresh * F.log2(F.col("doc_count") + 2) / cost, 6)).drop("by_source", "by_facet")
+
+
+def select_refs(indexes: DataFrame, plan: QueryPlan, now_ms: int, routes: DataFrame | None = None, most: int = MAX_LOCAL_REFS) -> DataFrame:
+    """The best local indexes in the scope of the plan's filters, with their position: those the directory lists, or all where it lists none."""
+    rows = with_utility(indexes.filter(plan.filters.scope(now_ms)), plan, routes)
+    some = rows.agg(F.coalesce(F.bool_or(F.col("turn").isNotNull()), F.lit(False)).alias("some"))
+    rows = rows.crossJoin(F.broadcast(some)).filter(~F.col("some") | F.col("turn").isNotNull()).drop("some")  # one row on the right
+    order = [F.desc("utility"), F.asc_nulls_last("turn"), F.desc_nulls_last(F.col("year").try_cast("int")), F.desc("doc_count"), F.asc("index_id")]
+    best = rows.orderBy(*order).limit(most)
+    return best.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 def within_budget(refs: list[dict], budget: int, least: int) -> list[dict]:
     """Greedy: an index that would pass the budget is skipped and uses none of it, but the first `least` are always taken."""
     out, used = [], 0
     for ref in refs:
-        if len(out) < least or used + ref["bytes"] <= budget:
+        if len(out) < max(least, 1) or used + ref["bytes"] <= budget:
             out.append(ref)
             used += ref["bytes"]
     return out

@@ -292,7 +292,7 @@ def snippets(spark, sf_dir):
     return top.select("id", snippet_column(QUERY, [QUERY], {"title": "title", "summary": "summary", "content": "content"}).alias("s")).select("id", "s.*")
 
 
-@query()
+@query(f"SELECT id, score FROM ({_ranked_sql('score DESC, date_ms DESC')})")
 def progressive(spark, sf_dir):
     docs = with_scope(documents_of(spark, sf_dir))
     words = word_postings(spark, sf_dir)
@@ -448,6 +448,34 @@ def route_summary(spark, sf_dir):
     return router.route_summary(counts, costs).select("term", "matched", "cost_bytes", "utility_per_kb")
 
 
+_DIRECTORY = f"""{ROUTES}, i AS (SELECT index_id, source_id, facet, year, count(*) AS doc_count, sum(strlen(content))::BIGINT AS bytes FROM s GROUP BY ALL),
+c AS (SELECT index_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(doc_index), index_id) AS turn FROM m WHERE term = '{QUERY}' GROUP BY index_id),
+t0 AS (SELECT i.*, CASE WHEN turn <= 24 THEN turn END AS turn FROM i LEFT JOIN c USING (index_id)),
+u AS (SELECT *, round(CASE WHEN turn IS NULL THEN 1 ELSE 4 END * CASE WHEN source_id IN (SELECT source_id FROM m WHERE term = '{QUERY}') THEN 2 ELSE 1 END * CASE WHEN facet IN (SELECT facet FROM m WHERE term = '{QUERY}') THEN 1.5 ELSE 1 END
+  * greatest(0.2::DOUBLE, least(1.2::DOUBLE, coalesce((try_cast(year AS INTEGER) - 2015) / 10.0::DOUBLE, 0.2))) * log2(doc_count + 2) / greatest(1.0::DOUBLE, bytes / 1024.0::DOUBLE), 6) AS utility FROM t0)"""
+
+
+def _directory(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Local indexes, and the directory of the vocabulary."""
+    indexes = router.local_indexes(with_scope(documents_of(spark, sf_dir)))
+    dimensions = {"source": "source_id", "facet": "facet", "year": "year", "task_kind": "task_kind", "record_type": "record_type", "local_index": "index_id", "shard": "shard_id"}
+    return indexes, router.route_summary(router.route_counts(_matches(spark, sf_dir), dimensions), indexes.select("index_id", "bytes"))
+
+
+@query(f"{_DIRECTORY} SELECT index_id, turn::INTEGER AS turn, utility FROM u")
+def index_utility(spark, sf_dir):
+    indexes, routes = _directory(spark, sf_dir)
+    return router.with_utility(indexes, router.build_plan(QUERY), routes).select("index_id", "turn", "utility")
+
+
+@query(f"{_DIRECTORY} SELECT index_id, row_number() OVER (ORDER BY utility DESC, turn)::INTEGER AS position FROM u WHERE turn IS NOT NULL")
+def chosen_indexes(spark, sf_dir):
+    """The limit is the feature: at most 48 indexes are loaded, of which the directory lists 24 a term."""
+    indexes, routes = _directory(spark, sf_dir)
+    return router.select_refs(indexes, router.build_plan(QUERY), NOW, routes).select("index_id", "position")
+
+
+
 @query(f"WITH {SCOPED} SELECT index_id, count(*)::BIGINT AS doc_count, count(DISTINCT shard_id)::BIGINT AS shards, sum(strlen(content))::BIGINT AS bytes FROM s GROUP BY index_id")
 def local_indexes(spark, sf_dir):
     rows = router.local_indexes(with_scope(documents_of(spark, sf_dir)))

@@ -81,3 +81,36 @@ def test_budget_skips_but_goes_on():
     refs = [{"bytes": b} for b in (5, 9, 3, 1)]
     assert router.within_budget(refs, 9, 1) == [refs[0], refs[2], refs[3]]
     assert router.within_budget(refs, 1, 2) == refs[:2]
+
+
+def test_chosen_indexes(spark):
+    rows = [("a__en__2025", "a", "en", "2025", 30, 2048), ("a__en__2016", "a", "en", "2016", 30, 2048), ("b__en__2025", "b", "en", "2025", 30, 2048), ("b__fr__undated", "b", "fr", "undated", 6, 100)]
+    indexes = spark.createDataFrame(rows, "index_id string, source_id string, facet string, year string, doc_count long, bytes long")
+    plan = router.QueryPlan("q", ["q"], ["q", "r"], "broad_exploratory", ["b"], "balanced")
+    free = {r["index_id"]: (r["position"], r["utility"]) for r in router.select_refs(indexes, plan, NOW).collect()}
+    assert free == {"b__en__2025": (1, 5.0), "a__en__2025": (2, 2.5), "b__fr__undated": (3, 1.2), "a__en__2016": (4, 0.5)}
+    routes = spark.createDataFrame([("r", ["a__en__2016"], ["a"], ["en"]), ("other", ["b__en__2025"], ["b"], ["fr"])], "term string, likely_local_index array<string>, likely_source array<string>, likely_facet array<string>")
+    assert [(r["index_id"], r["turn"], r["utility"]) for r in router.select_refs(indexes, plan, NOW, routes).collect()] == [("a__en__2016", 1, 6.0)]
+    assert router.select_refs(indexes.limit(0), plan, NOW, routes).count() == 0
+
+
+def test_progressive_in_chosen_indexes(view):
+    light, body = postings.light_postings(view), postings.body_postings(view)
+    indexes = router.local_indexes(view)
+    phases = {e.phase: e.results for e in search.progressive_search(view, light, body, "校历", NOW, indexes=indexes, batches=2)}
+    assert phases["first_trusted_results"].first()["id"] == "a-1"
+    assert [r["id"] for r in phases["exhaustive_complete"].collect()] == [r["id"] for r in search.search(view, light.unionByName(body), "校历", NOW).collect()]
+
+
+def test_failed_shards_are_in_the_ledger(view):
+    light, body = postings.light_postings(view), postings.body_postings(view)
+    shards_of = view.select("shard_id", F.pmod(F.xxhash64("shard_id"), F.lit(2)).alias("b")).distinct().collect()
+    bad = shards_of[0]["b"]
+    broken = lambda rows, batch: rows.withColumn("title", F.raise_error(F.lit("lost")).cast("string")) if batch == bad else rows
+    phrase = "通知"  # the section of every document
+    events = list(search.progressive_search(view, light, body, phrase, NOW, batches=2, scan=broken))
+    last = events[-1]
+    assert not last.stats["complete"] and last.stats["failed"] == sum(r["b"] == bad for r in shards_of) and last.stats["pending"] == 0
+    good = {r["shard_id"] for r in shards_of if r["b"] != bad}
+    assert {r["shard_id"] for r in last.results.collect()} <= good
+    assert any("failed_batch" in e.stats for e in events)
