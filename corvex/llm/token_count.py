@@ -97,6 +97,24 @@ class Trie:
         return -path[-1][1]
 
 
+class Terminals(dict):
+    """Counts of pre-tokens; one not met yet is inserted in the trie, and stored if it has up to STORED bytes."""
+
+    def __init__(self, made, keep: int) -> None:
+        super().__init__()
+        self.made, self.keep, self.trie = made, keep, made()
+
+    def __missing__(self, word: str) -> int:
+        coded = word.encode("utf-8", "surrogatepass")
+        n = self.trie.count(coded)
+        if len(self.trie.best) > self.keep:
+            self.trie = self.made()
+            self.clear()
+        if len(coded) <= STORED:
+            self[word] = n
+        return n
+
+
 def count_pieces(words: list[bytes], scores: dict[bytes, float], longest: int) -> dict[bytes, int]:
     """Pieces in the best segmentation of each word."""
     return count_walked(words, with_tails(scores), longest)
@@ -118,28 +136,13 @@ def token_counts(docs: DataFrame, text: str = "text", path: str = VOCABULARY, ke
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, longest = pieces(path)
-        tries, known = [Trie(table, longest)], {}  # known: counts of terminals of up to STORED bytes
-
-        def count(word: str) -> int:
-            coded = word.encode("utf-8", "surrogatepass")
-            n = tries[0].count(coded)
-            if len(coded) <= STORED:
-                known[word] = n
-            if len(tries[0].best) > keep:
-                tries[0] = Trie(table, longest)
-                known.clear()
-            return n
-
+        known = Terminals(lambda: Trie(table, longest), keep)
         for batch in batches:
             rows = []
             for text_ in batch["text"]:
                 text_ = text_ or ""
                 words = PRE_TOKEN.findall(text_)
-                n = 0
-                for word in words:
-                    have = known.get(word)
-                    n += count(word) if have is None else have
-                rows.append((len(text_.encode("utf-8", "surrogatepass")), len(words), n))
+                rows.append((len(text_.encode("utf-8", "surrogatepass")), len(words), sum(map(known.__getitem__, words))))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_pretokens", "n_tokens"], dtype="int64")
             yield out.assign(doc_id=strings(batch["doc_id"]))[["doc_id", *out.columns]]
 
