@@ -127,3 +127,6 @@ CLASS_LOOKUP = r"^[BFPQY]\d{2,}(?:\([A-Z0-9]+\))?$"
 COMPLETE_CLASS = r"^[BFPQY]\d{6}(?:\([A-Z0-9]+\))?$"
 EXAM_HELPER = "考试安排"
 QUICK_PRESETS = ["校历", "慕课考试", "学生相关文件及表格", "教务管理系统", "转专业", "奖学金", "大创", "附件1"]
+
+# The counts that a package states of itself.
+TRUTH_COUNTS = ["sections", "nav_nodes", "homepage_modules", "list_pages", "detail_pages", "low_content_detail_pages", "attachments", "external_links", "edges", "url_outcomes"]

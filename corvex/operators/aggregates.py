@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import EVIDENCE_LEVELS
+from ..functions.constants import EVIDENCE_LEVELS, TRUTH_COUNTS
 
 
 def counts_by(rows: DataFrame, *columns: str) -> DataFrame:
@@ -35,6 +35,28 @@ def quality_roll_up(packages: DataFrame) -> DataFrame:
     return packages.agg(F.sum("errors").alias("errors"), F.bool_and("all_outcomes").alias("all_outcomes"), mixed("attachment_policy"), mixed("external_policy"), F.max("generated_at").alias("generated_at"))
 
 
+def truth_counts(packages: DataFrame, fields: list[str] = TRUTH_COUNTS) -> DataFrame:
+    """Sums of the packages' counts; a count that is null, or a field that no package has, is 0."""
+    total = lambda f: F.sum(F.col(f).cast("long")) if f in packages.columns else F.lit(None).cast("long")
+    return packages.agg(*(F.coalesce(total(f), F.lit(0)).alias(f) for f in fields))
+
+
+def coverage_roll_up(ledger: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """One row: shards by state, documents searched and in all, and bytes loaded by role.
+
+    ledger has state, document_count and bytes; artifacts has role (first_screen, local_index or filter) and bytes.
+    Scanned shards count as hydrated, and scanned or proved ones as searched."""
+    state = lambda *names: F.col("state").isin(*names)
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    shards = ledger.agg(
+        F.count_if(state("scanned")).alias("scanned_shards"), F.count_if(state("proved_no_match")).alias("proved_no_match_shards"), F.count_if(state("pending")).alias("pending_shards"), F.count_if(state("failed")).alias("failed_shards"), F.count(F.lit(1)).alias("total_shards"),
+        total("document_count", state("scanned", "proved_no_match")).alias("searched_documents"), total("document_count", F.lit(True)).alias("total_documents"), total("bytes", state("scanned")).alias("hydrated_shard_bytes"), (F.count_if(state("pending", "failed")) == 0).alias("exhaustive_complete"),
+    )
+    loaded = artifacts.agg(*(total("bytes", F.col("role") == role).alias(f"{role}_bytes") for role in ("first_screen", "local_index", "filter")))
+    both = shards.crossJoin(loaded)  # one row each
+    return both.withColumn("loaded_bytes", F.col("first_screen_bytes") + F.col("local_index_bytes") + F.col("filter_bytes") + F.col("hydrated_shard_bytes"))
+
+
 def size_report(shards: DataFrame) -> DataFrame:
     return shards.agg(F.count(F.lit(1)).alias("shards"), F.sum("bytes").alias("total_bytes"), F.max("bytes").alias("max_bytes"), F.round(F.avg("bytes"), 4).alias("avg_bytes"), F.sum("document_count").alias("documents"), F.round(F.avg("document_count"), 4).alias("avg_documents"))
 

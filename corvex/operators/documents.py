@@ -152,6 +152,18 @@ def dense_index(rows: DataFrame, group: list[str], ordinal: str, name: str = "do
     return cut.join(starts, [*group, "_cut"]).withColumn(name, (F.col("_start") + inside - 1).cast("long")).drop("_cut", "_start")
 
 
+def source_manifests(sources: DataFrame, documents: DataFrame, **parts: DataFrame) -> DataFrame:
+    """source_id with its documents, shards and bytes, and n_<part> of each further table that has source_id.
+
+    Each table is counted by source before the join, so what meets is one row a source; a source without rows
+    has 0, and rows of no listed source are left out."""
+    own = documents.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_documents"), F.countDistinct("shard_id").alias("n_shards"), F.sum(F.octet_length("content")).alias("bytes"))
+    out = sources.select("source_id").distinct().join(own, "source_id", "left")
+    for name, rows in parts.items():
+        out = out.join(rows.groupBy("source_id").agg(F.count(F.lit(1)).alias(f"n_{name}")), "source_id", "left")
+    return out.na.fill(0, ["n_documents", "n_shards", "bytes", *(f"n_{name}" for name in parts)])
+
+
 def external_index(documents: DataFrame) -> DataFrame:
     return documents.filter("record_type = 'external'").select("id", "title", "url", "outcome")
 

@@ -118,6 +118,13 @@ def local_indexes(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source_id", "facet", "year").agg(F.count(F.lit(1)).alias("doc_count"), sets.alias("shard_ids"), F.sum(F.octet_length("content")).alias("bytes")).withColumn("index_id", F.concat_ws("__", "source_id", "facet", "year"))
 
 
+def unique_refs(refs: DataFrame, order: str = "position") -> DataFrame:
+    """Refs of local indexes from several choices, one row for each index_id: the first in order, ties by all its values."""
+    rest = [c for c in refs.columns if c not in ("index_id", order)]
+    first = refs.groupBy("index_id").agg(F.min(F.struct(order, *rest)).alias("_first"))
+    return first.select("index_id", "_first.*").select(*refs.columns)
+
+
 def term_matches(docs: DataFrame, terms: DataFrame, blob: str = "blob") -> DataFrame:
     """term and the columns of the documents whose blob holds it; terms is the directory's bounded vocabulary, broadcast."""
     return docs.join(F.broadcast(terms), F.contains(blob, F.col("term")))

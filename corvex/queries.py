@@ -669,6 +669,40 @@ def quality_roll_up(spark, sf_dir):
     return aggregates.quality_roll_up(p)
 
 
+@query("SELECT sum(n_regionkey)::BIGINT AS sections, count(n_nationkey)::BIGINT AS edges, coalesce(sum(CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey END), 0)::BIGINT AS attachments, 0::BIGINT AS nav_nodes FROM nation")
+def truth_counts(spark, sf_dir):
+    p = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("sections"), F.lit(1).alias("edges"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey")).alias("attachments"))
+    return aggregates.truth_counts(p, ["sections", "edges", "attachments", "nav_nodes"])
+
+
+@query(f"""WITH {SCOPED}, c AS (SELECT shard_id, count(*) AS n, sum(octet_length(encode(content))) AS b, ('0x' || substr(md5(shard_id), 1, 6))::BIGINT % 4 AS h FROM s GROUP BY shard_id),
+  i AS (SELECT sum(octet_length(encode(content))) AS b FROM s WHERE source_id = 'src2')
+  SELECT count(*) FILTER (h = 0)::BIGINT AS scanned_shards, count(*) FILTER (h = 1)::BIGINT AS proved_no_match_shards, count(*) FILTER (h = 2)::BIGINT AS pending_shards, count(*) FILTER (h = 3)::BIGINT AS failed_shards, count(*)::BIGINT AS total_shards,
+  sum(n) FILTER (h < 2)::BIGINT AS searched_documents, sum(n)::BIGINT AS total_documents, sum(c.b) FILTER (h = 0)::BIGINT AS hydrated_shard_bytes, count(*) FILTER (h > 1) = 0 AS exhaustive_complete,
+  0::BIGINT AS first_screen_bytes, any_value(i.b)::BIGINT AS local_index_bytes, 0::BIGINT AS filter_bytes, (sum(c.b) FILTER (h = 0) + any_value(i.b))::BIGINT AS loaded_bytes FROM c, i""")
+def coverage_roll_up(spark, sf_dir):
+    docs = with_scope(documents_of(spark, sf_dir))
+    number = F.conv(F.substring(F.md5("shard_id"), 1, 6), 16, 10).cast("long") % 4
+    rows = shards.catalog(docs).withColumn("in_scope", F.lit(True))
+    states = shards.ledger(rows, rows.filter(number == 1), rows.filter(number == 0), rows.filter(number == 3))
+    used = router.local_indexes(docs).filter("source_id = 'src2'").select(F.lit("local_index").alias("role"), "bytes")
+    return aggregates.coverage_roll_up(states, used)
+
+
+@query(f"WITH {SCOPED}, o AS (SELECT source_id, count(*) AS n, count(DISTINCT shard_id) AS k, sum(octet_length(encode(content))) AS b, count(*) FILTER (record_type = 'attachment') AS a, count(*) FILTER (record_type = 'external') AS e, count(DISTINCT section) AS c FROM s GROUP BY source_id) SELECT source_id, n::BIGINT AS n_documents, k::BIGINT AS n_shards, b::BIGINT AS bytes, a::BIGINT AS n_attachments, e::BIGINT AS n_externals, c::BIGINT AS n_sections FROM o WHERE source_id IS NOT NULL UNION ALL SELECT 'none', 0, 0, 0, 0, 0, 0")
+def source_manifests(spark, sf_dir):
+    docs = with_scope(documents_of(spark, sf_dir))
+    sources = docs.select("source_id").filter("source_id IS NOT NULL").union(spark.range(1).select(F.lit("none")))
+    of = lambda kind: docs.filter(F.col("record_type") == kind)
+    return documents.source_manifests(sources, docs, attachments=of("attachment"), externals=of("external"), sections=docs.select("source_id", "section").distinct())
+
+
+@query(f"WITH {SCOPED} SELECT index_id, min(doc_index)::BIGINT AS position FROM s WHERE index_id IS NOT NULL GROUP BY index_id")
+def unique_refs(spark, sf_dir):
+    docs = with_scope(documents_of(spark, sf_dir))
+    return router.unique_refs(docs.select(F.concat_ws("__", "source_id", "facet", "year").alias("index_id"), F.col("doc_index").cast("long").alias("position")))
+
+
 # --- exams
 
 

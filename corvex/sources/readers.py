@@ -162,6 +162,12 @@ def write_hashed(rows: DataFrame, folder: str, logical: str) -> dict:
     return {"path": path, "sha256": digest, "role": logical, "count": rows.count()}
 
 
+def write_json(rows: DataFrame, path: str, compact: bool = True) -> None:
+    """Rows as JSON objects with their nulls: one a line, or indented and followed by a line end if not compact."""
+    options = {"ignoreNullFields": "false", "pretty": str(not compact).lower()}
+    rows.select(F.to_json(F.struct("*"), options).alias("value")).write.mode("overwrite").text(path)
+
+
 def artifacts(spark: SparkSession, entries: list[dict], load: str = "on_demand") -> DataFrame:
     return spark.createDataFrame([(e["path"], e["sha256"], e["role"], load, e["count"]) for e in entries], "path string, sha256 string, role string, load string, count long")
 
