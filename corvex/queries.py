@@ -124,17 +124,13 @@ def url_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.doc_host("url").alias("host"))
 
 
-@query(f"""WITH t AS (SELECT DISTINCT substr({norm('text')}, 1, 12) AS token FROM benchmark), h AS (SELECT token, s.seed, list_reduce(list_prepend(xor(2166136261::BIGINT, s.seed), [('0x' || substr(hex(token), 2 * i + 1, 2))::BIGINT FOR i IN range(0, length(hex(token)) // 2)]), lambda h, x: (xor(h, x) * 16777619) & 4294967295) AS h FROM t, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) AS s(seed))
-SELECT token, seed, h, h % 16384 AS bit FROM h""")
-def fnv_hash(spark, sf_dir):
-    t = table(spark, sf_dir, "benchmark").select(F.substring(text.normalize_text("text", True), 1, 12).alias("token")).distinct()
-    rows = t.select("token", F.posexplode(F.array(*(text.fnv1a(F.col("token"), s) for s in range(3)))).alias("seed", "h"))
-    return rows.select("token", F.col("seed").cast("long").alias("seed"), "h", (F.col("h") % 16384).alias("bit"))
+#: Runs of ASCII; the given tables have no CJK text, whose n-grams the SQL leaves out.
+RUNS = "regexp_extract_all({}, '[a-z0-9][a-z0-9._-]+')"
 
 
-@query()
-def fnv_hash_tokens(spark, sf_dir):
-    """All tokens of the whole texts; fnv_hash has one prefix of each."""
+@query(f"""WITH t AS (SELECT DISTINCT unnest({RUNS.format(norm('text'))}) AS token FROM benchmark), h AS (SELECT token, s.seed, list_reduce(list_prepend(xor(2166136261::BIGINT, s.seed), [ord(x)::BIGINT FOR x IN string_split(token, '')]), lambda h, x: (xor(h, x) * 16777619) & 4294967295) AS h FROM t, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) AS s(seed))
+SELECT token, seed, h, h % 16384 AS bit FROM h""")
+def fnv_hash(spark, sf_dir):
     t = table(spark, sf_dir, "benchmark").select(F.explode(text.tokens("text", stable=True)).alias("token")).distinct()
     rows = t.select("token", F.posexplode(F.array(*(text.fnv1a(F.col("token"), s) for s in range(3)))).alias("seed", "h"))
     return rows.select("token", F.col("seed").cast("long").alias("seed"), "h", (F.col("h") % 16384).alias("bit"))
@@ -143,17 +139,15 @@ def fnv_hash_tokens(spark, sf_dir):
 # --- postings and scores
 
 
-@query(f"""WITH {DOCS}, u AS (SELECT doc_index, unnest(regexp_extract_all({norm('title')}, '[a-z0-9][a-z0-9._-]+')) AS term, unnest(range(0, len(regexp_extract_all({norm('title')}, '[a-z0-9][a-z0-9._-]+')))) AS place FROM d),
-p AS (SELECT doc_index, 't' AS field, term FROM (SELECT doc_index, term, row_number() OVER (PARTITION BY doc_index ORDER BY min(place)) AS n FROM u GROUP BY doc_index, term) WHERE n <= 120)
-SELECT field, count(*)::BIGINT AS postings, count(DISTINCT term)::BIGINT AS terms, count(DISTINCT doc_index)::BIGINT AS docs FROM p GROUP BY field""")
-def postings_build(spark, sf_dir):
-    rows = postings._spread(documents_of(spark, sf_dir), {"t": text.tokens("title", 4, 120, True)})
-    return rows.groupBy("field").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("term").alias("terms"), F.countDistinct("doc_index").alias("docs"))
+_FIELDS = {"t": ("n_title", 120), "s": ("n_section", 80), "n": (norm("'home' || section"), 80), "g": ("n_tags", None), "m": ("n_summary", 80), "c": ("n_content", 180)}
+_FIELD_RUNS = " UNION ALL ".join([f"SELECT doc_index, '{f}' AS field, {cap or 'NULL'}::INTEGER AS cap, {RUNS.format(x)} AS runs FROM v" for f, (x, cap) in _FIELDS.items()] + [f"SELECT doc_index, 'e', NULL, {RUNS.format(norm('title || url'))} FROM v WHERE record_type = 'external'"])
 
 
-@query()
-def postings_whole(spark, sf_dir):
-    """Postings of all fields over whole documents; postings_build has titles alone."""
+@query(f"""WITH {VIEW}, r AS ({_FIELD_RUNS}), u AS (SELECT doc_index, field, cap, unnest(runs) AS term, unnest(range(0, len(runs))) AS place FROM r),
+p AS (SELECT doc_index, field, term FROM (SELECT doc_index, field, cap, term, row_number() OVER (PARTITION BY doc_index, field ORDER BY min(place)) AS n FROM u GROUP BY doc_index, field, cap, term) WHERE cap IS NULL OR n <= cap)
+SELECT field, count(*)::BIGINT AS postings, count(DISTINCT term)::BIGINT AS terms, count(DISTINCT doc_index)::BIGINT AS docs FROM p GROUP BY field""")
+def postings_build(spark, sf_dir):
+    """Postings of all fields over whole documents."""
     docs = documents_of(spark, sf_dir).withColumn("summary", text.summarize(F.col("content"), F.col("title")))
     rows = postings.light_postings(docs, stable=True).unionByName(postings.body_postings(docs, stable=True))
     return rows.groupBy("field").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("term").alias("terms"), F.countDistinct("doc_index").alias("docs"))
@@ -173,13 +167,8 @@ IN_TERMS = ", ".join(f"'{t}'" for t in SCORE_TERMS)
 SCORES = f"WITH {WORDS}, i AS (SELECT doc_index, sum({IMPACT})::BIGINT AS light_score FROM p WHERE term IN ({IN_TERMS}) GROUP BY doc_index)"
 
 
-@query(f"WITH {WORDS} SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term ORDER BY df DESC, term LIMIT 50")
-def posting_df(spark, sf_dir):
-    return word_postings(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(50)
-
-
 @query(f"WITH {WORDS} SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term ORDER BY df DESC, term")
-def posting_df_all(spark, sf_dir):
+def posting_df(spark, sf_dir):
     return word_postings(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term")
 
 
@@ -370,40 +359,18 @@ def size_report(spark, sf_dir):
     return aggregates.size_report(shards.catalog(with_scope(documents_of(spark, sf_dir))))
 
 
-HASH = "list_reduce(list_prepend(xor(2166136261::BIGINT, {seed}), [('0x' || substr(hex(token), 2 * i + 1, 2))::BIGINT FOR i IN range(0, length(hex(token)) // 2)]), lambda h, x: (xor(h, x) * 16777619) & 4294967295) % 16384"
-BITS = f"WITH {SCOPED}, t AS (SELECT DISTINCT shard_id, unnest(regexp_extract_all({norm('title')}, '[a-z0-9][a-z0-9._-]+')) AS token FROM s), z AS (SELECT DISTINCT shard_id, {HASH.format(seed='k')} AS bit FROM t, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) AS o(k))"
-
-
-def _bits(spark, sf_dir):
-    docs = with_scope(documents_of(spark, sf_dir)).withColumn("blob", text.normalize_text("title", True))
-    return shards.filter_bits(docs)
+HASH = "list_reduce(list_prepend(xor(2166136261::BIGINT, {seed}), [ord(x)::BIGINT FOR x IN string_split(token, '')]), lambda h, x: (xor(h, x) * 16777619) & 4294967295) % 16384"
+BITS = f"WITH {VIEW}, t AS (SELECT DISTINCT shard_id, unnest({RUNS.format('blob')}) AS token FROM b), z AS (SELECT DISTINCT shard_id, {HASH.format(seed='k')} AS bit FROM t, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) AS o(k))"
 
 
 @query(f"{BITS} SELECT shard_id, count(*)::BIGINT AS n, sum(bit)::BIGINT AS total FROM z GROUP BY shard_id")
 def bloom_bits(spark, sf_dir):
-    return _bits(spark, sf_dir).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("total"))
+    """Bits of the search view's blob, which has the whole texts."""
+    return shards.filter_bits(view_of(spark, sf_dir)).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("total"))
 
 
 @query(f"{BITS}, w AS (SELECT DISTINCT {HASH.format(seed='k').replace('token', chr(39) + 'the.' + chr(39))} AS bit FROM (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) AS o(k)) SELECT DISTINCT shard_id FROM s WHERE (SELECT count(*) FROM w) > (SELECT count(*) FROM z JOIN w ON z.bit = w.bit WHERE z.shard_id = s.shard_id)")
 def bloom_prove(spark, sf_dir):
-    return _proved(with_scope(documents_of(spark, sf_dir)).select("shard_id").distinct(), spark, sf_dir)
-
-
-def _proved(every: DataFrame, spark, sf_dir) -> DataFrame:
-    """Shards ruled out; a shard whose titles have no token has no bits and is ruled out as well."""
-    maps = shards.filter_bitmaps(_bits(spark, sf_dir))
-    held = maps.join(shards.proved_empty(maps, ["the."], safe=False), "shard_id", "left_anti")
-    return every.join(held, "shard_id", "left_anti")
-
-
-@query()
-def bloom_bits_whole(spark, sf_dir):
-    """Bits of the search view's blob, which has the whole texts; bloom_bits has titles alone."""
-    return shards.filter_bits(view_of(spark, sf_dir)).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("total"))
-
-
-@query()
-def bloom_prove_whole(spark, sf_dir):
     """Shards ruled out by the bits of whole texts; a blob always has tokens, so every shard has bits."""
     maps = shards.filter_bitmaps(shards.filter_bits(view_of(spark, sf_dir)))
     return shards.proved_empty(maps, ["the."], safe=False)
@@ -754,13 +721,8 @@ def exam_violations(spark, sf_dir):
     return exams.violations(_exams(spark, sf_dir))
 
 
-@query(f"WITH {EXAMS} SELECT id, start_timestamp FROM x ORDER BY start_timestamp NULLS LAST, id LIMIT 50")
-def exams_by_start(spark, sf_dir):
-    return exams.by_start(_exams(spark, sf_dir)).select("id", "start_timestamp").limit(50)
-
-
 @query(f"WITH {EXAMS} SELECT id, start_timestamp FROM x ORDER BY start_timestamp NULLS LAST, id")
-def exams_by_start_all(spark, sf_dir):
+def exams_by_start(spark, sf_dir):
     return exams.by_start(_exams(spark, sf_dir)).select("id", "start_timestamp")
 
 
