@@ -28,3 +28,10 @@ def test_canonical_title_of_empty_first_lines(spark, tmp_path):
 def test_canonical_title_keeps_a_title_that_is_a_label(spark):
     row = spark.createDataFrame([("【通知】 -",)], "t string").select(text.canonical_title("t").alias("a"), text.canonical_title("t", whole=False).alias("b")).first()
     assert tuple(row) == ("【通知】 -", "")
+
+
+def test_bloom_bits_are_those_of_fnv1a(spark):
+    tokens = ["a", "the.", "校历", "x" * 300, "the.-_9", ""]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select(*((text.fnv1a(F.col("t"), s) % shards.BLOOM_BITS).alias(f"b{s}") for s in range(shards.BLOOM_HASHES))).collect()
+    assert shards.bits_of(tokens).T.tolist() == [list(r) for r in rows]
+    assert shards.bits_of([]).shape == (shards.BLOOM_HASHES, 0)
