@@ -30,6 +30,11 @@ def test_canonical_title_keeps_a_title_that_is_a_label(spark):
     assert tuple(row) == ("【通知】 -", "")
 
 
+def test_snippets_are_made_of_the_top_rows_only(spark):
+    plan = plan_of(QUERIES["snippets"](spark, SF))
+    assert plan.index("ArrowEvalPython") < plan.index("GlobalLimit")  # the plan is written from the top
+
+
 def test_bloom_bits_are_those_of_fnv1a(spark):
     tokens = ["a", "the.", "校历", "x" * 300, "the.-_9", ""]
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select(*((text.fnv1a(F.col("t"), s) % shards.BLOOM_BITS).alias(f"b{s}") for s in range(shards.BLOOM_HASHES))).collect()
