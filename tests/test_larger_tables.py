@@ -40,3 +40,38 @@ def test_bloom_bits_are_those_of_fnv1a(spark):
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select(*((text.fnv1a(F.col("t"), s) % shards.BLOOM_BITS).alias(f"b{s}") for s in range(shards.BLOOM_HASHES))).collect()
     assert shards.bits_of(tokens).T.tolist() == [list(r) for r in rows]
     assert shards.bits_of([]).shape == (shards.BLOOM_HASHES, 0)
+
+
+@pytest.mark.parametrize(("name", "scans"), [("route_summary", 2), ("index_utility", 3), ("chosen_indexes", 3)])
+def test_texts_are_read_once_for_the_directory(spark, name, scans):
+    """Once for the matches, and once for the bytes of each index, in the directory and beside it."""
+    assert plan_of(QUERIES[name](spark, SF)).count("Relation [") <= scans
+
+
+def test_tokens_prepare_a_text_once(spark):
+    rows = spark.createDataFrame([("A b",)], "t string").select(F.size(text.tokens(F.lower("t"), normalized=True)).alias("n"))
+    assert plan_of(rows).count("lower(") == 1
+
+
+def test_progressive_search_proves_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    view = view_of(spark, SF).limit(40).cache()
+    bits = shards.filter_bits(view.withColumn("blob", counted.asNondeterministic()("blob")))
+    docs = view.select("doc_index", "title", "content")
+    light = docs.select(F.lit("the").alias("term"), F.lit("t").alias("field"), "doc_index")
+    events = list(search.progressive_search(view, light, light.withColumn("field", F.lit("c")), "the", NOW, filters_of=shards.filter_bitmaps(bits)))
+    assert events[-1].stats["complete"] and seen.value == view.count()
+
+
+def test_indexes_of_one_name_stay_apart(spark):
+    rows = [("x__en__2025", "x", "en", "2025", 3, 10), ("x__en__2025", "x__en", None, "2025", 4, 20)]
+    indexes = spark.createDataFrame(rows, "index_id string, source_id string, facet string, year string, doc_count long, bytes long")
+    routes = spark.createDataFrame([("q", ["x__en__2025"], ["x"], ["en"])], "term string, likely_local_index array<string>, likely_source array<string>, likely_facet array<string>")
+    plan = router.QueryPlan("q", ["q"], ["q"], "broad_exploratory", [], "balanced")
+    assert sorted(r["doc_count"] for r in router.with_utility(indexes, plan, routes).collect()) == [3, 4]
