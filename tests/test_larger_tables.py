@@ -30,6 +30,12 @@ def test_canonical_title_keeps_a_title_that_is_a_label(spark):
     assert tuple(row) == ("【通知】 -", "")
 
 
+def test_blank_characters_are_those_of_the_pattern(spark):
+    every = spark.createDataFrame([("a" + "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x10000)])) + "b",)], "t string")
+    row = every.select(text.normalize_text("t", stable=True).alias("got"), F.regexp_replace(F.lower("t"), text.BLANKS, "").alias("want")).first()
+    assert row["got"] == row["want"]
+
+
 def test_snippets_are_made_of_the_top_rows_only(spark):
     plan = plan_of(QUERIES["snippets"](spark, SF))
     assert plan.index("ArrowEvalPython") < plan.index("GlobalLimit")  # the plan is written from the top
