@@ -41,6 +41,12 @@ def test_snippets_are_made_of_the_top_rows_only(spark):
     assert plan.index("ArrowEvalPython") < plan.index("GlobalLimit")  # the plan is written from the top
 
 
+def test_phrases_are_looked_up_in_a_blob_made_once(spark):
+    found = search.holding(view_of(spark, SF), ["withth", "ersteth"]).select("id")
+    assert all("lower(" not in line for line in plan_of(found).replace("\n,", ",").split("\n") if "Filter" in line and "Contains" in line)
+    assert plan_of(found).count("lower(coalesce(text") + plan_of(found).count("lower(coalesce(content") == 1
+
+
 def test_bloom_bits_are_those_of_fnv1a(spark):
     tokens = ["a", "the.", "校历", "x" * 300, "the.-_9", ""]
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select(*((text.fnv1a(F.col("t"), s) % shards.BLOOM_BITS).alias(f"b{s}") for s in range(shards.BLOOM_HASHES))).collect()
