@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvex.functions import text
-from corvex.operators import shards
+from corvex.operators import postings, shards
 from corvex.plans import router, search
 from corvex.queries import NOW, ORACLES, QUERIES, view_of
 
@@ -87,3 +87,29 @@ def test_indexes_of_one_name_stay_apart(spark):
     routes = spark.createDataFrame([("q", ["x__en__2025"], ["x"], ["en"])], "term string, likely_local_index array<string>, likely_source array<string>, likely_facet array<string>")
     plan = router.QueryPlan("q", ["q"], ["q"], "broad_exploratory", [], "balanced")
     assert sorted(r["doc_count"] for r in router.with_utility(indexes, plan, routes).collect()) == [3, 4]
+
+
+def test_remaining_impact_adds_each_block_once(spark, monkeypatch):
+    """A frame that ends at the last row is added up anew for each row, so time grows with the square of the blocks."""
+    monkeypatch.setattr(postings, "RUN_OF_BLOCKS", 3)
+    lists = [(1, "the", "c", 11, 10), (1, "and", "c", 11, 7), (1, "and", "t", 11, 1), (1, "with", "c", 12, 3), (2, "the", "c", 11, 4), (2, None, "c", 11, 4), (3, "le", None, None, 2)]
+    rows = [(q, t, f, b, i, 32) for q, t, f, i, n in lists for b in range(n)] + [(4, "own", "c", b, 20 - b % 7, 32) for b in range(20)]
+    got = postings.remaining_impact(spark.createDataFrame(rows, "query_id int, term string, field string, block int, impact int, n int"))
+    assert got.columns == ["query_id", "term", "field", "block", "impact", "n", "remaining"] and "unboundedfollowing" not in plan_of(got).lower()
+    first = lambda v: (v is not None, v or "")
+    rows.sort(key=lambda r: (r[0], r[4] is None, -(r[4] or 0), first(r[1]), first(r[2]), r[3]))
+    want = {r[:6]: None if r[4] is None else sum(x[4] for x in rows[k:] if x[0] == r[0] and x[4] is not None) for k, r in enumerate(rows)}
+    assert {tuple(r)[:6]: r["remaining"] for r in got.collect()} == want and got.count() == len(rows)
+
+
+def test_remaining_impact_makes_the_blocks_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    docs = spark.range(2000).select(F.lit("the").alias("term"), F.lit("c").alias("field"), counted.asNondeterministic()("id").alias("doc_index"))
+    rows = postings.remaining_impact(postings.blocks(docs).withColumn("query_id", F.lit(1))).select("term", "field", "block", "remaining").collect()
+    assert seen.value == 2000 and len(rows) == 63 and max(r["remaining"] for r in rows) == 63 * min(r["remaining"] for r in rows)
